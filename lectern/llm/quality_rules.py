@@ -13,13 +13,14 @@ named like a ledger column are replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, whole_text
+from .common import WORD
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
 
@@ -57,44 +58,46 @@ def mask(policy: Policy, rules: Sequence[Rule] = RULES) -> int:
     return sum(1 << names.index(name) for name in policy.rules)
 
 
-def measured(df: DataFrame, *, text: str = "text", window: int = 5) -> DataFrame:
-    """Add the measurements. Repeats are found by sorting the window hashes inside the row."""
-    held = [c for c in df.columns if c not in MEASURES]
-    rows = df.select(*held, whole_text(text).alias("_text"))
-    rows = rows.withColumn("_words", F.expr(rf"regexp_extract_all(_text, r'{WORD}', 0)"))
-    hashed = ", ".join(f"_words[i + {k}]" for k in range(window))
-    rows = rows.withColumn(
-        "_hashes", F.expr(f"CASE WHEN size(_words) > {window} THEN transform(sequence(0, size(_words) - {window}), i -> xxhash64({hashed})) END")
-    )
-    rows = rows.withColumn(
-        "_order",
-        F.expr("CASE WHEN size(array_distinct(_hashes)) < size(_hashes) THEN sort_array(transform(_hashes, (h, i) -> struct(h AS h, i AS i))) END"),
-    )
-    again = "filter(_order, (x, k) -> (k > 0 AND _order[k - 1].h = x.h) OR (k < size(_order) - 1 AND _order[k + 1].h = x.h))"
-    rows = rows.withColumn("_starts", F.expr(f"CASE WHEN _order IS NOT NULL THEN sort_array(transform({again}, x -> x.i)) END"))
-    rows = rows.withColumn("_lines", F.expr(rf"filter(split(_text, '\n', -1), l -> l RLIKE r'{WORD}')"))
-    covered = f"""aggregate(_starts, struct(0L AS n, -{window} AS last),
-        (a, s) -> struct(a.n + least({window}, s - a.last) AS n, s AS last)).n"""
-    return rows.select(
-        *held,
-        F.expr("CAST(size(_words) AS long)").alias("n_words"),
-        F.expr(r"CAST(length(regexp_replace(_text, r'[\x20\x09-\x0D]+', '')) AS long)").alias("word_chars"),
-        F.expr(r"CAST(regexp_count(_text, r'[#*$%&|<>]') AS long)").alias("n_symbols"),
-        F.expr("CAST(size(_lines) - size(array_distinct(_lines)) AS long)").alias("n_dup_lines"),
-        F.expr(f"CASE WHEN _starts IS NULL THEN 0L ELSE {covered} END").alias("n_repeat_words"),
-        F.expr("CAST(size(_lines) AS long)").alias("n_lines"),
-        F.expr(r"CAST(length(regexp_replace(_text, r'\P{L}+', '')) AS long)").alias("n_letters"),
-        F.expr(r"CAST(length(regexp_replace(_text, r'\P{Lu}+', '')) AS long)").alias("n_capitals"),
-    )
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for body with name bound to value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def bits(rules: Sequence[Rule] = RULES) -> Column:
-    return F.expr(" | ".join(f"CASE WHEN {r.fails} THEN {1 << k}L ELSE 0L END" for k, r in enumerate(rules)))
+def ledger_sql(text: str, rules: Sequence[Rule] = RULES, window: int = 5) -> str:
+    """One SQL expression: a struct of the measurements and failed_bits.
+
+    Repeated windows are found by sorting the window hashes inside the row; texts without any are
+    recognised first, by counting distinct hashes.
+    """
+    hashed = ", ".join(f"w[i + {k}]" for k in range(window))
+    again = "filter(o, (x, k) -> (k > 0 AND o[k - 1].h = x.h) OR (k < size(o) - 1 AND o[k + 1].h = x.h))"
+    covered = f"""CASE WHEN o IS NULL THEN 0L ELSE aggregate(sort_array(transform({again}, x -> x.i)), struct(0L AS n, -{window} AS last),
+        (a, s) -> struct(a.n + least({window}, s - a.last) AS n, s AS last)).n END"""
+    measures = rf"""struct(
+        CAST(size(w) AS long) AS n_words,
+        CAST(length(regexp_replace(t, r'[\x20\x09-\x0D]+', '')) AS long) AS word_chars,
+        CAST(regexp_count(t, r'[#*$%&|<>]') AS long) AS n_symbols,
+        CAST(size(l) - size(array_distinct(l)) AS long) AS n_dup_lines,
+        {covered} AS n_repeat_words,
+        CAST(size(l) AS long) AS n_lines,
+        CAST(length(regexp_replace(t, r'\P{{L}}+', '')) AS long) AS n_letters,
+        CAST(length(regexp_replace(t, r'\P{{Lu}}+', '')) AS long) AS n_capitals)"""
+    own = lambda sql: re.sub(rf"\b({'|'.join(MEASURES)})\b", r"m.\1", sql)
+    bits = " | ".join(f"CASE WHEN {own(r.fails)} THEN {1 << k}L ELSE 0L END" for k, r in enumerate(rules))
+    out = _let("m", measures, f"struct({', '.join(f'm.{c} AS {c}' for c in MEASURES)}, {bits} AS failed_bits)")
+    out = _let("o", "CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array(transform(h, (x, i) -> struct(x AS h, i AS i))) END", out)
+    out = _let("h", f"CASE WHEN size(w) > {window} THEN transform(sequence(0, size(w) - {window}), i -> xxhash64({hashed})) END", out)
+    out = _let("l", rf"filter(split(t, '\n', -1), l -> l RLIKE r'{WORD}')", out)
+    out = _let("w", rf"regexp_extract_all(t, r'{WORD}', 0)", out)
+    return _let("t", f"coalesce(`{text}`, '')", out)
 
 
 def ledger(df: DataFrame, *, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """df with the measurements and the failure bits: one narrow pass, no shuffle."""
-    return measured(df, text=text).withColumn("failed_bits", bits(rules))
+    names = (*MEASURES, "failed_bits")
+    held = [c for c in df.columns if c not in names]
+    judged = df.withColumn("_ledger", F.expr(ledger_sql(text, rules)))
+    return judged.select(*held, *(F.col(f"_ledger.{c}").alias(c) for c in names))
 
 
 def passes(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
