@@ -20,6 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import whole_text
 
@@ -139,6 +140,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, key), (benchmark, item_key))]
     schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, edits int, start long, `end` long"
     rows = docs.select(key, whole_text(text).alias("t"))
+    id_type = to_arrow_type(benchmark.schema[item_key].dataType)
     found = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark, item_key, item_text):
 
@@ -153,7 +155,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                 if hits:
                     ids, edits, starts, ends = (list(x) for x in zip(*hits))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids), pa.array(edits, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+                        [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, id_type), pa.array(edits, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
                         names=[key, item_key, "edits", "start", "end"],
                     )
 

@@ -43,6 +43,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe button select option input textarea svg canvas dialog menu object embed audio video map title noembed noframes xmp".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "thead"}}
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote td th tr tbody thead table figcaption figure".split())
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
 # Words in class, id and role that mark what is not the article.
 NOT_ARTICLE = frozenset(
@@ -241,7 +242,10 @@ def slot(mass: dict[str, float]) -> str:
         for depth in range(1, len(names) + 1):
             upto["/".join(names[:depth])] += chars
     held = [p for p, chars in upto.items() if total and chars >= SLOT * total]
-    return max(held, key=lambda p: (p.count("/"), upto[p], p), default="")
+    found = max(held, key=lambda p: (p.count("/"), upto[p], p), default="")
+    while re.split(r"[.#~]", found.rpartition("/")[2])[0] in LEAVES:  # the slot is what holds the paragraphs
+        found = found.rpartition("/")[0]
+    return found
 
 
 def inside(path: str, root: str) -> bool:
