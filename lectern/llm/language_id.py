@@ -69,7 +69,7 @@ def fit(df: DataFrame, *, text: str = "text", label: str = "lang", sample_rows:
             used = np.nonzero(into)[0]
             yield pd.DataFrame({"label": name, "bin": used.astype(np.int32), "n": into[used]})
 
-    sums = chosen.filter(F.col("label").isin(names)).mapInPandas(counted, "label string, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()
+    sums = chosen.filter(F.col("label").isin(names)).mapInPandas(counted, "label string, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     tables = np.full((len(names), BINS), SMOOTH)
     for n, name in enumerate(names):
         own = sums[sums.label == name]
