@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import check, duplicates, fuse, retrieve, segment, stats
+from .operators import align, check, duplicates, fuse, retrieve, rewrite, segment, stats
+from .sources import files
 from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, sql_trim, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +274,56 @@ _register("u03_new_hits", "SELECT * FROM (VALUES ('b', 2)) v(digest, ordinal)")(
 )
 
 
+# alignment, citations and rewriting
+
+_NORMED = f"""{KEYED}, refs AS (SELECT item_id AS ref_id, regexp_replace({sql_trim('text')}, '{WS}', '', 'g') AS norm FROM benchmark)"""
+
+
+def _normed(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col("item_id").alias(key), T.normalize(F.col("text")).alias("norm"))
+
+
+_register("j02_best_matches", f"""WITH {_NORMED.split(', refs AS')[0]}, r AS (SELECT doc_id * 100000 + idx AS ref_id, norm AS r, list_distinct(list_transform(range(1, greatest(length(norm) - 1, 2)), lambda i: substring(norm, i, 3))) AS gr FROM normed WHERE norm <> '' AND length(norm) >= 3),
+a AS (SELECT item_id AS cite_id, norm AS a, list_distinct(list_transform(range(1, length(norm) - 1), lambda i: substring(norm, i, 3))) AS ga FROM (SELECT item_id, regexp_replace({sql_trim('text')}, '{WS}', '', 'g') AS norm FROM benchmark)),
+x AS (SELECT cite_id, ref_id, CASE WHEN a = r THEN 1.0 ELSE len(list_intersect(ga, gr))::DOUBLE / len(list_distinct(list_concat(ga, gr))) END AS score FROM a JOIN r ON length(r) BETWEEN floor(length(a) * 0.8) AND ceil(length(a) * 1.2))
+SELECT * FROM (SELECT cite_id, ref_id, round(score, 6) AS score, row_number() OVER (PARTITION BY cite_id ORDER BY score DESC, ref_id) AS rank FROM x WHERE score >= 0.2) WHERE rank <= 2""")(
+    lambda s, d: align.best_matches(
+        _normed(table(s, d, "benchmark"), "cite_id"),
+        segment.sentences(_docs(s, d)).filter(F.length("sentence") >= 5).select((F.col("doc_id") * 100000 + F.col("idx")).alias("ref_id"), T.normalize(F.col("sentence")).alias("norm")).filter("length(norm) >= 3"),
+        threshold=0.2,
+    ).withColumn("score", F.round("score", 6))
+)
+
+
+@_register("j20_alignment")
+def _aligned(s: SparkSession, d: str) -> DataFrame:
+    left = segment.sentences(_docs(s, d))
+    right = left.filter("idx % 7 <> 3").withColumn("sentence", F.when(F.col("idx") % 5 == 0, F.concat("sentence", F.lit(" x"))).otherwise(F.col("sentence")))
+    return align.align(left, right)
+
+
+_UNITS = [(0, "# H", "c0"), (1, "one", "c1"), (2, "two", "c2")]
+_register("j05_zip_units", "SELECT * FROM (VALUES (0, '# H', 'c0'), (1, 'one', 'un'), (2, 'two', 'deux')) v(idx, target, context)")(
+    lambda s, d: align.zip_units(s.createDataFrame(_UNITS, "idx int, target string, context string"), s.createDataFrame([(0, "# T", ""), (1, "un", ""), (2, "deux", "")], "idx int, target string, context string"))
+)
+_RULES = {"the": "THE", "they": "THEY", "de la": "DE-LA"}
+_register("e02_apply_rules", "SELECT doc_id, replace(replace(replace(replace(replace(text, 'they', chr(2)), 'de la', chr(3)), 'the', 'THE'), chr(2), 'THEY'), chr(3), 'DE-LA') AS text FROM documents")(
+    lambda s, d: rewrite.apply_rules(_docs(s, d), _RULES)
+)
+_register("j14_literal_check")(lambda s, d: rewrite.literal_check(_docs(s, d), _RULES))
+_register("g20_quotes", "SELECT * FROM (VALUES (1, 1, 8, '“a「b」c”'), (1, 9, 12, '《t》')) v(doc_id, start, \"end\", quote)")(
+    lambda s, d: rewrite.quotes(s.createDataFrame([(1, "x“a「b」c”y《t》”")], "doc_id int, text string"))
+)
+_register("f11_curled_quotes", "SELECT * FROM (VALUES (1, '“a” and “b”')) v(id, t)")(lambda s, d: s.createDataFrame([(1, ' "a" and "b" ')], "id int, x string").select("id", rewrite.curl(F.col("x")).alias("t")))
+_OLD, _NEW = [("a", 1, 10), ("b", 1, 10), ("c", 1, 10)], [("b", 1, 10), ("c", 2, 10), ("d", 1, 1)]
+_register("s05_changes", "SELECT * FROM (VALUES ('a', 'delete'), ('c', 'replace'), ('d', 'add')) v(file, action)")(
+    lambda s, d: files.changes(s.createDataFrame(_OLD, "file string, mtime int, size int"), s.createDataFrame(_NEW, "file string, mtime int, size int"))
+)
+_register("p05_in_scope", "SELECT * FROM (VALUES ('a/b.md', true), ('ab/c.md', false), ('a/x/y.md', false)) v(path, inside)")(
+    lambda s, d: s.createDataFrame([("a/b.md",), ("ab/c.md",), ("a/x/y.md",)], "path string").select("path", files.in_scope(F.col("path"), ["a"], ["a/x"]).alias("inside"))
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
