@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import align, check, duplicates, fuse, retrieve, rewrite, segment, stats
 from .sources import files
-from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, sql_trim, table
+from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, spread, sql_trim, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -28,7 +28,7 @@ def _register(name: str, sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _values(rows: list[tuple], schema: str) -> Query:

@@ -63,16 +63,27 @@ def without_ellipsis(text: Column) -> Column:
     return replaced(text, r"…+|\.{2,}")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body or its lambdas name it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def substrings(text: Column, n: int) -> Column:
+    """Every run of n characters, in order; none for a shorter text."""
+    # Characters are cut once and indexed: substring() would walk the text from its start each time.
+    each = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(c[i + k] for k in range(n))))
+    return bound(F.split(text, ""), lambda c: F.when((F.size(c) >= n) & (c[0] != ""), each(c)).otherwise(F.array().cast("array<string>")))
+
+
 def ngrams(text: Column, n: int) -> Column:
     """The distinct character n-grams; a shorter text is its own and only gram."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(grams))
+    return bound(text, lambda t: F.when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(substrings(t, n))))
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "|"))
-    few = F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(F.array(F.array_join(tokens, "|")))
-    return F.when(F.size(tokens) < n, few).otherwise(F.array_distinct(grams))
+    few = lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(F.array(F.array_join(w, "|")))
+    each = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), "|")))
+    return bound(tokens, lambda w: F.when(F.size(w) < n, few(w)).otherwise(each(w)))
 
 
 def jaccard_of(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Normalization, jaccard_of, ngrams, normalize, without_ellipsis
+from ..functions.text import Normalization, ngrams, normalize, without_ellipsis
 from .segment import sentences
 
 
@@ -42,7 +42,9 @@ def similar_pairs(keyed: DataFrame, threshold: float = 0.8, length_delta: float
     a = grams.select(key, F.col("idx").alias("a"), F.col("len").alias("la"), F.col("match_key").alias("ka"), F.col("grams").alias("ga"), F.explode(F.sequence(bucket(F.col("len")), bucket(top))).alias("b"))
     c = grams.select(key, F.col("idx").alias("c"), F.col("len").alias("lc"), F.col("match_key").alias("kc"), F.col("grams").alias("gc"), bucket(F.col("len")).alias("b"))
     near = (F.col("lc") <= F.ceil(F.col("la") * (1 + length_delta))) & ((F.col("la") < F.col("lc")) | ((F.col("la") == F.col("lc")) & (F.col("a") < F.col("c"))))
-    scored = a.join(c, [key, "b"]).filter(near).withColumn("score", jaccard_of(F.col("ga"), F.col("gc"))).filter(F.col("score") >= threshold)
+    # The intersection alone gives the union's size, so each pair builds one set.
+    shared = F.size(F.array_intersect("ga", "gc"))
+    scored = a.join(c, [key, "b"]).filter(near).withColumn("score", F.transform(F.array(shared), lambda x: x / (F.size("ga") + F.size("gc") - x))[0]).filter(F.col("score") >= threshold)
     return scored.select(key, F.least("a", "c").alias("left_idx"), F.greatest("a", "c").alias("right_idx"), "score")
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import search_token
+from ..functions.text import substrings
 from .segment import lines
 
 
 def tokens(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term): one row a token of letters and digits, normalized for search."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    return words.select(key, search_token(F.col("w")).alias("term")).filter("term IS NOT NULL")
+    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
+    return words.filter((F.length("term") > 1) | F.col("term").rlike("[a-z0-9]"))
 
 
 def corpus_stats(toks: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -43,9 +43,8 @@ def bm25(df: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, to
 
 def bigrams(df: DataFrame, *, key: str, text: str) -> DataFrame:
     """(key, gram, tf) of the character bigrams without white space."""
-    t = F.regexp_replace(F.col(text), r"\s+", "")
-    grams = F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))
-    return df.select(key, t.alias("t")).filter(F.length("t") >= 2).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    grams = df.select(key, F.explode(substrings(F.regexp_replace(F.col(text), r"\s+", ""), 2)).alias("gram"))
+    return grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
 def bigram_cosine(df: DataFrame, queries: DataFrame, top: int = 20, least: float = 0.15, *, key: str = "doc_id", text: str = "text") -> DataFrame:

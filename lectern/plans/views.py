@@ -10,10 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions, as one small file does; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh line is a second-level heading; a blank line follows each line."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 7 == 0, F.concat(F.lit("## "), x)).otherwise(x))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(lines, "\n\n").alias("text"))
 
 
 MD_DOCS = """md AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 7 = 0 THEN '## ' || x ELSE x END) AS ls FROM documents),
