@@ -17,6 +17,8 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BLOCK = 1024
+#: Turns that one pandas group holds, about: many short conversations share a group. Null turn numbers stand here.
+GROUP_ROWS, FIRST = 8192, -(1 << 63)
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {SYSTEM: "system", USER: "user", ASSISTANT: "assistant"}
 # Other names of the roles.
@@ -95,8 +99,14 @@ def shielded(text: str) -> str:
     return text.replace("<|", "< |")
 
 
-def ordered(rows: pd.DataFrame, turn: str, role: str, text: str | None) -> pd.DataFrame:
-    return rows.sort_values([turn, role, *([text] if text else [])], kind="stable", na_position="first")
+def runs(group: pd.DataFrame, by: tuple[str, ...], values: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows of values) of each key, rows in order; turns of one number go by role, then text."""
+    order = [c for c in ("k", "b", "t", "r", "x") if c in group.columns]
+    group = group.sort_values(order, kind="stable", na_position="first")
+    lists = {c: [None if isinstance(v, float) and v != v else v for v in group[c].tolist()] for c in (*by, *values)}
+    keys = zip(*(lists[c] for c in by))
+    for key, rows in groupby(zip(keys, zip(*(lists[c] for c in values))), key=lambda x: x[0]):
+        yield key, [row for _, row in rows]
 
 
 def role_code(name) -> int:
@@ -110,63 +120,65 @@ def repair(df: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str
     stand before the turn that needs them (or, at the end, after the last one) with a null role_in.
     """
     rows = df.select(
-        F.col(key).alias("k"),
-        F.col(turn).cast("long").alias("t"),
+        F.col(key).cast("string").alias("k"),
+        F.coalesce(F.col(turn).cast("long"), F.lit(FIRST)).alias("t"),
         F.col(role).cast("string").alias("r"),
         F.coalesce(F.col(text), F.lit("")).alias("x"),
-        F.coalesce(F.floor(F.col(turn).cast("long") / BLOCK), F.lit(-(1 << 53))).alias("b"),
+        F.coalesce(F.floor(F.col(turn).cast("long") / BLOCK), F.lit(FIRST)).cast("long").alias("b"),
     )
-    kind = df.schema[key].dataType.simpleString()
-
-    def matrix(group: pd.DataFrame) -> pd.DataFrame:
-        group = ordered(group, "t", "r", "x")
-        roles = [role_code(r) for r in group.r]
-        least = [c for s in range(4) for c in sweep(roles, s)[0]]
-        return pd.DataFrame({"k": group.k.iloc[:1], "b": group.b.iloc[:1], "m": [least]})
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("b")
-        cost, back = [0.0, math.inf, math.inf, math.inf], []
-        for m in group.m:
-            ways = [min((cost[s] + m[4 * s + o], s) for s in range(4)) for o in range(4)]
-            cost = [c for c, _ in ways]
-            back.append([s for _, s in ways])
-        end = min(range(4), key=lambda o: (cost[o] + closing(o)[1], o))
-        total, states = cost[end] + closing(end)[1], []
-        for via in reversed(back):
-            states.append((via[end], end))
-            end = via[end]
-        states.reverse()
-        return pd.DataFrame({"k": group.k, "b": group.b, "start": [s for s, _ in states], "end": [e for _, e in states], "last": [False] * (len(states) - 1) + [True], "cost": total})
+    groups = max(1, math.ceil(rows.count() / GROUP_ROWS))
+    dealt = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(groups)).alias("g")
+
+    def matrices(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (k, b), turns in runs(group, ("k", "b"), ("t", "r")):
+            roles = [role_code(r) for _, r in turns]
+            out.append((k, b, [c for s in range(4) for c in sweep(roles, s)[0]]))
+        return pd.DataFrame(out, columns=["k", "b", "m"])
+
+    def chains(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (k,), blocks in runs(group, ("k",), ("b", "m")):
+            cost, back = [0.0, math.inf, math.inf, math.inf], []
+            for _, m in blocks:
+                ways = [min((cost[s] + m[4 * s + o], s) for s in range(4)) for o in range(4)]
+                cost = [c for c, _ in ways]
+                back.append([s for _, s in ways])
+            end = min(range(4), key=lambda o: (cost[o] + closing(o)[1], o))
+            total, last = cost[end] + closing(end)[1], True
+            for (b, _), via in zip(reversed(blocks), reversed(back)):
+                out.append((k, b, via[end], end, last, total))
+                end, last = via[end], False
+        return pd.DataFrame(out, columns=["k", "b", "start", "end", "last", "cost"])
 
     def rendered(group: pd.DataFrame) -> pd.DataFrame:
-        group = ordered(group, "t", "r", "x")
-        start, end, last, cost = (group[c].iloc[0] for c in ("start", "end", "last", "cost"))
-        out, open_turn = [], bool(start != START)
-        for t, r, x, k in zip(group.t, group.r, group.x, path([role_code(r) for r in group.r], int(start), int(end))):
-            _, to, action, between = STEPS[k]
-            piece = 0
-            if between:
-                out.append((t, piece, None, ROLES[between], "insert", CLOSE * open_turn + OPEN.format(ROLES[between])))
-                piece, open_turn = 1, True
-            if action == "merge":
-                out.append((t, piece, r, ROLES[to], "merge", "\n\n" + shielded(x)))
-            else:
-                done = "keep" if role_code(r) == to else "relabel"
-                out.append((t, piece, r, ROLES[to], done, CLOSE * open_turn + OPEN.format(ROLES[to]) + shielded(x)))
-            open_turn = True
-        if last:
-            t, piece = out[-1][0], out[-1][1]
-            for n, added in enumerate(closing(int(end))[0], 1):
-                out.append((t, piece + n, None, ROLES[added], "insert", CLOSE + OPEN.format(ROLES[added])))
-            out[-1] = (*out[-1][:5], out[-1][5] + CLOSE)
-        table = pd.DataFrame(out, columns=["t", "piece", "role_in", "role", "action", "rendered"])
-        table.insert(0, "k", group.k.iloc[0] if len(group) else None)
-        table["cost"] = cost
-        return table
-
-    blocks = rows.groupBy("k", "b").applyInPandas(matrix, f"k {kind}, b long, m array<double>")
-    states = materialize(blocks.groupBy("k").applyInPandas(chain, f"k {kind}, b long, start int, end int, last boolean, cost double"))
+        out = []
+        for (k, _), turns in runs(group, ("k", "b"), ("t", "r", "x", "start", "end", "last", "cost")):
+            start, end, last, cost = turns[0][3:]
+            open_turn = bool(start != START)
+            for (t, r, x, *_), step in zip(turns, path([role_code(r) for _, r, *_ in turns], int(start), int(end))):
+                _, to, action, between = STEPS[step]
+                piece = 0
+                if between:
+                    out.append((k, t, piece, None, ROLES[between], "insert", CLOSE * open_turn + OPEN.format(ROLES[between]), cost))
+                    piece, open_turn = 1, True
+                if action == "merge":
+                    out.append((k, t, piece, r, ROLES[to], "merge", "\n\n" + shielded(x), cost))
+                else:
+                    done = "keep" if role_code(r) == to else "relabel"
+                    out.append((k, t, piece, r, ROLES[to], done, CLOSE * open_turn + OPEN.format(ROLES[to]) + shielded(x), cost))
+                open_turn = True
+            if last:
+                for n, added in enumerate(closing(int(end))[0], piece + 1):
+                    out.append((k, t, n, None, ROLES[added], "insert", CLOSE + OPEN.format(ROLES[added]), cost))
+                out[-1] = (*out[-1][:6], out[-1][6] + CLOSE, cost)
+        return pd.DataFrame(out, columns=["k", "t", "piece", "role_in", "role", "action", "rendered", "cost"])
+
+    sums = rows.select("k", "b", "t", "r", "x", dealt("k", "b")).groupBy("g").applyInPandas(matrices, "k string, b long, m array<double>")
+    states = materialize(sums.select("*", dealt("k")).groupBy("g").applyInPandas(chains, "k string, b long, start int, end int, last boolean, cost double"))
     joined = rows.join(states.withColumnsRenamed({"k": "sk", "b": "sb"}), F.col("k").eqNullSafe(F.col("sk")) & (F.col("b") == F.col("sb"))).drop("sk", "sb")
-    done = joined.groupBy("k", "b").applyInPandas(rendered, f"k {kind}, t long, piece int, role_in string, role string, action string, rendered string, cost double")
-    return done.withColumnsRenamed({"k": key, "t": turn})
+    schema = "k string, t long, piece int, role_in string, role string, action string, rendered string, cost double"
+    done = joined.select("*", dealt("k", "b")).groupBy("g").applyInPandas(rendered, schema)
+    return done.select(
+        F.col("k").cast(df.schema[key].dataType).alias(key), F.nullif("t", F.lit(FIRST)).alias(turn), "piece", "role_in", "role", "action", "rendered", "cost"
+    )
