@@ -120,7 +120,7 @@ FROM (SELECT doc_id, left(text, 200) AS t FROM documents)""")(
     lambda s, d: _docs(s, d).select("doc_id", F.array_sort(T.ngrams(F.left("text", F.lit(200)), 3)).alias("grams"))
 )
 _WORDPAIRS = [(1, "abcd", "abce"), (2, "", "x"), (3, "same", "same"), (4, "ab", "abab"), (5, "天地玄黄", "天地黄玄")]
-_register("f08_jaccard", "SELECT * FROM (VALUES (1, 0.5), (2, 0.0), (3, 1.0), (4, 0.5), (5, 0.2)) v(id, score)")(
+_register("f08_jaccard", "SELECT * FROM (VALUES (1, 0.5e0), (2, 0.0e0), (3, 1.0e0), (4, 0.5e0), (5, 0.2e0)) v(id, score)")(
     lambda s, d: _values(_WORDPAIRS, "id int, a string, b string")(s, d).select("id", F.round(T.jaccard(F.col("a"), F.col("b"), 2), 6).alias("score"))
 )
 _register("f09_token_estimate", rf"""WITH c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '[\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) AS wide,
@@ -147,7 +147,7 @@ _register("f21_numbers", "SELECT * FROM (VALUES (1, 21, 1994, 28, 3, 10002), (2,
     lambda s, d: _values([(1, "二十一", "MCMXCIV", "AB", "③", "1.2"), (2, "十", "IV", "a", "⑳", "1")], "id int, h string, r string, l string, c string, m string")(s, d).select(
         "id", T.han_number(F.col("h")).alias("han"), T.roman_number(F.col("r")).alias("roman"), T.letter_number(F.col("l")).alias("letter"), T.circled_number(F.col("c")).cast("int").alias("circled"), T.multi_level(F.col("m")).alias("multi"))
 )
-_register("f35_confidence", "SELECT * FROM (VALUES (1, 0.85), (2, 0.9), (3, 0.4), (4, NULL), (5, NULL)) v(id, c)")(
+_register("f35_confidence", "SELECT * FROM (VALUES (1, 0.85e0), (2, 0.9e0), (3, 0.4e0), (4, NULL), (5, NULL)) v(id, c)")(
     lambda s, d: _values([(1, "85%"), (2, "0.9"), (3, "40"), (4, "high"), (5, "-3")], "id int, x string")(s, d).select("id", T.confidence(F.col("x")).alias("c"))
 )
 
@@ -209,7 +209,7 @@ SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc
     lambda s, d: retrieve.grep(_docs(s, d), r"th[aeiou]n\b")
 )
 _HITS = [("a", 5, "l5", 0.3), ("a", 5, "l5", 0.9), ("a", 8, "l8", 0.5), ("a", 20, "l20", 0.5), ("b", 21, "m", 0.95), ("b", 40, "n", 0.1)]
-_register("w07_merge_hits", "SELECT * FROM (VALUES ('b', 21, 21, 'm', 0.95), ('a', 5, 8, 'l5\nl8', 0.9), ('a', 20, 20, 'l20', 0.5)) v(file, start_line, end_line, snippet, value)")(
+_register("w07_merge_hits", "SELECT * FROM (VALUES ('b', 21, 21, 'm', 0.95e0), ('a', 5, 8, 'l5\nl8', 0.9e0), ('a', 20, 20, 'l20', 0.5e0)) v(file, start_line, end_line, snippet, value)")(
     lambda s, d: retrieve.merge_hits(s.createDataFrame(_HITS, "file string, line int, line_text string, value double"), 3)
 )
 
@@ -247,11 +247,11 @@ SELECT doc_id, min(k) AS "at", 'missing' AS reason FROM n WHERE k > 2 GROUP BY d
 # fusion
 
 _FUSE = [(1, "u1", "bm25", 0.5, ["a"]), (2, "u1", "grep", 0.8, ["b", "a"]), (3, "u2", "grep", 0.1, ["c"])]
-_register("u04_fused", "SELECT * FROM (VALUES ('u1', 1, 'bm25', 0.8, 'a,b'), ('u2', 3, 'grep', 0.1, 'c')) v(unit_key, ordinal, source, score, patterns)")(
+_register("u04_fused", "SELECT * FROM (VALUES ('u1', 1, 'bm25', 0.8e0, 'a,b'), ('u2', 3, 'grep', 0.1e0, 'c')) v(unit_key, ordinal, source, score, patterns)")(
     lambda s, d: fuse.fused(s.createDataFrame(_FUSE, "ordinal int, unit_key string, source string, score double, patterns array<string>")).select("unit_key", "ordinal", "source", "score", F.array_join("patterns", ",").alias("patterns"))
 )
 _SCORED = [(1, 0.9, 0.5, 2, 0.4, 3, "text", "a snippet that is long enough"), (2, 0.1, 0.0, 1, 0.0, 1, "navigation_hint", "short")]
-_register("r08_final_score", "SELECT * FROM (VALUES (1, 0.585), (2, 0.0)) v(hit_id, final_score)")(
+_register("r08_final_score", "SELECT * FROM (VALUES (1, 0.585e0), (2, 0.0e0)) v(hit_id, final_score)")(
     lambda s, d: fuse.final_score(s.createDataFrame(_SCORED, "hit_id int, llm double, channel double, n_patterns int, scope double, n_in_file int, kind string, snippet string")).select("hit_id", F.round("final_score", 6).alias("final_score"))
 )
 _CAP = [(i, "f" if i < 7 else "", i / 10) for i in range(10)]
