@@ -3,8 +3,9 @@
 A page is parsed into a tree without markup that is never article text (menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments). Its outline is the ordered list of
 paths of its blocks, runs of like siblings folded into one. Pages of a host are aligned outline to outline by
-simple tree matching. Nodes whose text is the same on nearly all differing pages are template; the node that
-holds most of the varying text is the content slot, and a page's main text is its blocks in that slot.
+simple tree matching. Nodes whose text is the same on nearly all differing pages are template. The content slot is the
+article or main element that holds varying text, where there is one, and else the deepest container that holds most of it; a page's
+main text is its blocks in that slot.
 
 Pages are read twice and never shuffled: the first pass sends hashes and lengths of blocks, pre-aggregated
 by host, the second applies each host's wrapper. Copies of one page count once, so they never make an article look constant.
