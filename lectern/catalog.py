@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import align, check, duplicates, fuse, retrieve, rewrite, segment, stats
 from .sources import files
-from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, spread, sql_trim, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def _register(name: str, sql: str | None = None):
-    def add(query: Query) -> Query:
-        _queries[name] = query
-        if sql is not None:
-            _sql[name] = sql
-        return query
-
-    return add
-
-
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-def _values(rows: list[tuple], schema: str) -> Query:
-    return lambda spark, _: spark.createDataFrame(rows, schema)
-
-
-def _sql_values(rows: list[tuple], names: str) -> str:
-    show = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else "[" + ", ".join(map(show, x)) + "]" if isinstance(x, list) else str(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") v({names})"
-
+from .plans import document_queries  # noqa: F401
+from .plans.registry import ORACLE, QUERIES, Query, documents as _docs, register as _register, sql_rows as _sql_values, values as _values
+from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, sql_trim, table
 
 # duplicates and sentences
 
@@ -325,8 +297,8 @@ _register("p05_in_scope", "SELECT * FROM (VALUES ('a/b.md', true), ('ab/c.md', f
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(ORACLE)
