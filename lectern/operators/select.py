@@ -81,7 +81,7 @@ def reranked(hits: DataFrame, decisions: DataFrame, merged: DataFrame) -> DataFr
     gone = merged.select("tag", F.lit(True).alias("gone")).distinct()
     rows = hits.join(decisions, "tag", "left").join(gone, "tag", "left")
     dropped = F.coalesce(F.col("action") == "drop", F.lit(False)) & F.col("gone").isNull()
-    score = F.when(dropped, F.coalesce(F.least("new_score", F.lit(0.15)), F.lit(0.0))).otherwise(F.coalesce("new_score", "score"))
+    score = F.when(dropped, F.when(F.col("new_score").isNull(), 0.0).otherwise(F.least("new_score", F.lit(0.15)))).otherwise(F.coalesce("new_score", "score"))
     return rows.select("tag", score.alias("score"), F.when(F.col("gone"), "pruned").otherwise("active").alias("status"), (F.col("gone").isNull() & ~dropped).alias("suggestible"))
 
 
