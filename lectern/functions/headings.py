@@ -103,3 +103,8 @@ def citation_confidence(text: Column, least: int = 5) -> Column:
 def differs(before: Column, after: Column) -> Column:
     """Whether two texts differ in more than white space."""
     return replaced(before, SPACE) != replaced(after, SPACE)
+
+
+def without_comments(block: Column, marker: str = "") -> Column:
+    """The block without markup comments that begin with the marker; runs of blank lines become one."""
+    return trimmed(replaced(replaced(block, rf"<!--{marker}[^>]*-->{SPACE}*"), r"\n{3,}", "\n\n"))

@@ -16,25 +16,25 @@ def character_check(df: DataFrame, dictionary: DataFrame, *, key: str = "doc_id"
 
     Texts without any variant are dropped first by one regular expression built from the dictionary.
     """
-    found = characters(df, key=key, text=text).join(F.broadcast(dictionary), F.col("ch") == F.col("variant"))
+    found = characters(df, key=key, text=text).join(dictionary, F.col("ch") == F.col("variant"))
     return found.groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
 def word_check(df: DataFrame, dictionary: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, variant, preferred, n) for whole words (variant, preferred)."""
     words = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    return words.join(F.broadcast(dictionary), F.col("w") == F.col("variant")).groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"))
+    return words.join(dictionary, F.col("w") == F.col("variant")).groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"))
 
 
 def last_character_check(df: DataFrame, dictionary: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, variant, preferred, n) for words whose last character is a variant."""
     words = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    return words.join(F.broadcast(dictionary), F.right("w", F.lit(1)) == F.col("variant")).groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"))
+    return words.join(dictionary, F.right("w", F.lit(1)) == F.col("variant")).groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"))
 
 
 def outside_characters(df: DataFrame, allowed: DataFrame, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ch, n): characters of the pattern that the allowed list (ch) lacks."""
-    return characters(df, key=key, text=text).filter(F.col("ch").rlike(pattern)).join(F.broadcast(allowed), "ch", "left_anti").groupBy(key, "ch").agg(F.count("*").alias("n"))
+    return characters(df, key=key, text=text).filter(F.col("ch").rlike(pattern)).join(allowed, "ch", "left_anti").groupBy(key, "ch").agg(F.count("*").alias("n"))
 
 
 def merged_entries(entries: DataFrame) -> DataFrame:
@@ -71,3 +71,17 @@ def first_heading_difference(left: DataFrame, right: DataFrame, *, key: str = "d
     both = numbered(left, "l").join(numbered(right, "r"), [key, "at"], "full")
     reason = F.when(F.col("level_l").isNull(), "extra").when(F.col("level_r").isNull(), "missing").when(F.col("level_l") != F.col("level_r"), "level").when(F.col("title_l") != F.col("title_r"), "title")
     return both.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy(key).agg(F.min("at").alias("at"), F.min_by("reason", "at").alias("reason"))
+
+
+def sorted_entries(entries: DataFrame, ascending: bool = False, *, key: str = "doc_id") -> DataFrame:
+    """Entries (key, n, first_pos) with rank in their document: by count, then by first place."""
+    n = F.col("n").asc() if ascending else F.col("n").desc()
+    return entries.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(n, "first_pos")))
+
+
+def outline_difference(pairs: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(key, first_difference) of two texts (key, x, y): the index from 0 of the first heading whose level or title,
+    with white space squeezed, differs; the shorter outline's length where one ends early; -1 for equal outlines."""
+    titles = lambda c: F.transform(F.filter(F.split(c, "\n"), lambda l: l.rlike(r"^#{1,6}\s+\S")), lambda l: F.trim(F.regexp_replace(l, r"\s+", " ")))
+    places = F.transform(F.arrays_zip(titles("x").alias("a"), titles("y").alias("b")), lambda z, i: F.when(z.a.eqNullSafe(z.b), None).otherwise(i))
+    return pairs.select(key, F.coalesce(F.array_min(places), F.lit(-1)).alias("first_difference"))

@@ -77,3 +77,8 @@ def similar_groups(pairs: DataFrame, *, key: str = "doc_id") -> DataFrame:
         return pd.DataFrame({key: edges[key].iloc[0], "idx": members, "group_id": [find(x) for x in members], "score": [best[find(x)] for x in members]})
 
     return pairs.groupBy(key).applyInPandas(components, f"`{key}` {kind}, idx int, group_id int, score double")
+
+
+def unseen(rows: DataFrame, seen: DataFrame, body: str, order: str, *, key: str = "doc_id") -> DataFrame:
+    """(key, body, order): bodies that ``seen`` lacks, once for each key, at their first place."""
+    return rows.join(seen.select(body).distinct(), body, "left_anti").groupBy(key, body).agg(F.min(order).alias(order))

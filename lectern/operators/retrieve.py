@@ -29,13 +29,13 @@ def bm25(df: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, to
     asked = queries.select("query_id", F.lower("term").alias("term")).distinct()
     counted = tokens(df, key=key, text=text)
     lengths = counted.groupBy(key).agg(F.count("*").alias("dl"))
-    tf = counted.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = counted.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
     df_terms = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = (
-        tf.join(df_terms, "term").join(lengths, key).crossJoin(F.broadcast(stats)).withColumn("part", part).join(F.broadcast(asked), "term").groupBy("query_id", key).agg(F.sum("part").alias("score")).filter("score > 0")
+        tf.join(df_terms, "term").join(lengths, key).crossJoin(F.broadcast(stats)).withColumn("part", part).join(asked, "term").groupBy("query_id", key).agg(F.sum("part").alias("score")).filter("score > 0")
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
@@ -53,18 +53,26 @@ def bigram_cosine(df: DataFrame, queries: DataFrame, top: int = 20, least: float
     norms = grams.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     asked = bigrams(queries, key="query_id", text="query").withColumnRenamed("tf", "qtf")
     asked_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    dots = grams.join(F.broadcast(asked), "gram").groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    scored = dots.join(norms, key).join(F.broadcast(asked_norms), "query_id").withColumn("score", F.col("dot") / (F.col("norm") * F.col("qnorm"))).filter(F.col("score") >= least)
+    dots = grams.join(asked, "gram").groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+    scored = dots.join(norms, key).join(asked_norms, "query_id").withColumn("score", F.col("dot") / (F.col("norm") * F.col("qnorm"))).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", key, "score", "rank")
 
 
-def dense_cosine(vectors: DataFrame, queries: DataFrame, top: int = 20, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank) by cosine of dense vectors; queries (query_id, query) are broadcast."""
+def dense_cosine(vectors: DataFrame, queries: DataFrame, top: int = 20, block: int = 4096, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, key, score, rank) by cosine of dense vectors, for queries (query_id, query).
+
+    The queries are counted and dealt by hash to blocks of about ``block``; each block is broadcast to one scan of the vectors.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(dot(F.col(vector), F.col(vector)) * dot(F.col("query"), F.col("query")))
-    pairs = vectors.select(key, vector).join(F.broadcast(queries), F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, (dot(F.col(vector), F.col("query")) / F.nullif(norm, F.lit(0.0))).alias("score"))
+    blocks = max(1, -(-queries.count() // block))
+    met = None
+    for n in range(blocks):
+        part = F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n))
+        pairs = vectors.select(key, vector).join(part, F.col(key) != F.col("query_id"))
+        met = pairs if met is None else met.unionAll(pairs)
+    scored = met.select("query_id", key, (dot(F.col(vector), F.col("query")) / F.nullif(norm, F.lit(0.0))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
