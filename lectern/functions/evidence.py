@@ -174,3 +174,9 @@ def era_year(text: Column) -> Column:
     tens = F.when(t.startswith("十"), 1).otherwise(F.try_element_at(table, F.left(t, F.lit(1))))
     ones = F.when(t.endswith("十"), 0).otherwise(F.try_element_at(table, F.right(t, F.lit(1))))
     return F.when(t == "元", 1).when(t.rlike("^[一二三四五六七八九]$"), F.try_element_at(table, t)).when(t.rlike("^[一二三四五六七八九]?十[一二三四五六七八九]?$"), tens * 10 + ones)
+
+
+def fingerprint(**parts: Column) -> Column:
+    """24 hex digits of SHA-1 over the parts as JSON with sorted names; the order of arrays' values must not matter to
+    the caller's key, so arrays are to be passed sorted."""
+    return F.left(F.sha1(F.to_json(F.struct(*(parts[name].alias(name) for name in sorted(parts))))), F.lit(24))

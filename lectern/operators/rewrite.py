@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -135,3 +137,34 @@ def apply_rules(df: DataFrame, rules: dict[str, str], *, key: str = "doc_id", te
         return batch.map(lambda t: None if t is None else replaced_spans(t, [(a, b, rules[f]) for f, a, b in literal_matches(t, finds)]))
 
     return df.select(key, done(F.col(text)).alias("text"))
+
+
+def inserted(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) with additions (array of struct end, addition) put after their ends, last first, so offsets stay right."""
+    from_end = F.reverse(F.array_sort(F.transform("additions", lambda x: F.struct(x["end"].alias("end"), x.addition.alias("addition")))))
+    put = lambda t, x: F.concat(F.left(t, x["end"]), x.addition, F.substring(t, x["end"] + 1, F.length(t)))
+    return df.select(key, F.aggregate(from_end, F.col(text), put).alias("text"))
+
+
+def pattern_check(df: DataFrame, rules: list[tuple[str, str]], *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rule, start, end, found, preferred): regular-expression rules in order; a place that an earlier rule or
+    match took is not matched again. Null texts have no matches. Patterns are Python's, \\1 in a replacement is a group."""
+    compiled = [(n, re.compile(find), by) for n, (find, by) in enumerate(rules)]
+
+    def scan(batches):
+        for batch in batches:
+            out = []
+            for k, t in zip(batch["k"], batch["t"]):
+                taken: list[tuple[int, int]] = []
+                for n, find, by in compiled:
+                    for m in find.finditer(t or ""):
+                        at = bisect.bisect_left(taken, m.span())
+                        clear = (at == 0 or taken[at - 1][1] <= m.start()) and (at == len(taken) or m.end() <= taken[at][0])
+                        if clear and m.end() > m.start():
+                            taken.insert(at, m.span())
+                            out.append((k, n, m.start(), m.end(), m.group(), m.expand(by)))
+            yield pd.DataFrame(out, columns=["k", "rule", "start", "end", "found", "preferred"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"k {kind}, rule int, start int, end int, found string, preferred string")
+    return rows.withColumnRenamed("k", key)

@@ -188,3 +188,22 @@ def toc_entries(df: DataFrame, base: int = 1, *, key: str = "doc_id", text: str
     found = lines(df, key=key, text=text).filter(F.col("line").rlike(r"^\s*[-*+]\s+\S"))
     indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
     return found.select(key, "line_no", (F.floor(indent / 4) + base).cast("int").alias("level"), F.trim(F.regexp_replace("line", r"^\s*[-*+]\s+", "")).alias("title"))
+
+
+def split(df: DataFrame, mode: str, *, levels: tuple[int, ...] = (2,), cut_by: int = 600, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Segments by mode: length, title, title_length or paragraph."""
+    if mode == "length":
+        return by_length(df, cut_by, key=key, text=text)
+    if mode == "title":
+        return by_title(df, levels, key=key, text=text)
+    if mode == "title_length":
+        return by_title_and_length(df, levels, cut_by, key=key, text=text)
+    if mode == "paragraph":
+        return paragraphs(df, key=key, text=text)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def first_segment(df: DataFrame, mode: str, start, *, levels: tuple[int, ...] = (2,), cut_by: int = 600, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, target): the first segment by length or title of the text from offset ``start`` on."""
+    rest = df.select(key, F.substring(F.col(text), start + 1, F.length(text)).alias("text"))
+    return split(rest, mode, levels=levels, cut_by=cut_by, key=key).filter("idx = 0").select(key, "target")

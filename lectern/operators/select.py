@@ -164,3 +164,46 @@ def uneven_gaps(nodes: DataFrame, *, key: str = "doc_id") -> DataFrame:
     sets = nodes.groupBy(key, "grandparent", "parent").agg(F.array_sort(F.collect_set("value")).alias("v"), F.count("*").alias("n")).filter("n >= 2")
     gaps = sets.withColumn("gaps", F.array_except(F.sequence(F.array_min("v"), F.array_max("v")), "v")).filter("size(gaps) > 0")
     return gaps.groupBy(key, "grandparent").agg(F.countDistinct("gaps").alias("kinds")).filter("kinds > 1").select(key, "grandparent")
+
+
+def within_budget(hits: DataFrame, most_chars: int, *, group: str = "query_id", order: str = "ordinal", text: str = "snippet") -> DataFrame:
+    """hits of each group in order until the characters exceed the budget; empty snippets are left out and cost nothing."""
+    running = F.sum(F.length(text)).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return hits.filter(F.col(text) != "").withColumn("running", running).filter(F.col("running") <= most_chars).drop("running")
+
+
+def pruned(hits: DataFrame, named: DataFrame, least: float | None = None) -> DataFrame:
+    """hits (hit_id, score) with status pruned where they are named (hit_id) or score below ``least``."""
+    rows = hits.join(named.select("hit_id", F.lit(True).alias("named")).distinct(), "hit_id", "left")
+    low = F.coalesce(F.col("score") < least, F.lit(False)) if least is not None else F.lit(False)
+    return rows.withColumn("status", F.when(F.coalesce("named", F.lit(False)) | low, "pruned").otherwise("active")).drop("named")
+
+
+def unexpired(cache: DataFrame, now, ttl_seconds: int, snapshot: str | None = None, corpus: tuple[str, ...] = ("grep_md", "bm25", "vector")) -> DataFrame:
+    """Cache entries (fetched_at, source, snapshot) younger than the limit; those of corpus channels only for the current snapshot."""
+    fresh = F.unix_micros(F.col("fetched_at").cast("timestamp")) > F.unix_micros(now) - ttl_seconds * 1_000_000
+    return cache.filter(fresh if snapshot is None else fresh & (~F.col("source").isin(*corpus) | (F.col("snapshot") == snapshot)))
+
+
+def pending(units: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Units that have no result yet, so a stopped batch resumes where it ended."""
+    return units.join(results.filter(F.col(key).isNotNull()).select(key), key, "left_anti")
+
+
+def grouped_export(hits: DataFrame) -> DataFrame:
+    """(query_id, document): the blocks of each group, best first, under a heading of its target."""
+    blocks = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("a"), "hit_id", "block")))
+    joined = hits.filter("status <> 'pruned' AND kind <> 'navigation_hint' AND block <> ''").groupBy("query_id", "target").agg(F.array_join(F.transform(blocks, lambda x: x.block), "\n\n").alias("body"))
+    return joined.select("query_id", F.concat(F.lit("## "), "target", F.lit("\n\n"), "body").alias("document"))
+
+
+def processing_summary(units: DataFrame, *, text: str = "target", result: str = "result") -> DataFrame:
+    """One row (total, processed, total_chars, processed_chars) over units."""
+    done = F.col(result).isNotNull()
+    return units.agg(F.count("*").alias("total"), F.count_if(done).alias("processed"), F.sum(F.length(text)).alias("total_chars"), F.coalesce(F.sum(F.when(done, F.length(text))), F.lit(0)).alias("processed_chars"))
+
+
+def preset_dictionary(traditional: DataFrame, variants: DataFrame) -> DataFrame:
+    """(simplified, others): all traditional and variant forms of tables (simplified, forms) as one string."""
+    both = traditional.withColumnRenamed("forms", "t").join(variants.withColumnRenamed("forms", "v"), "simplified", "full")
+    return both.select("simplified", F.concat(F.coalesce("t", F.lit("")), F.coalesce("v", F.lit(""))).alias("others"))

@@ -32,12 +32,12 @@ c AS (SELECT doc_id FROM p GROUP BY doc_id HAVING count(*) >= 4) SELECT doc_id A
     ))(duplicates.keyed_sentences(documents(s, d)).withColumn("norm", T.normalize(F.col("sentence"))).filter("norm <> ''").withColumn("pos", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1")))
 )
 _TERMS = [(1, "the"), (1, "tion"), (2, "de")]
-register("r02_scoped_bm25", """WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS term FROM documents WHERE starts_with(source, 'w')),
+register("r02_scoped_bm25", """WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS term FROM documents WHERE starts_with(source, 'src1')),
 k AS (SELECT * FROM t WHERE NOT (length(term) = 1 AND NOT regexp_matches(term, '[a-z0-9]'))), l AS (SELECT doc_id, count(*) AS dl FROM k GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
 q AS (SELECT * FROM (VALUES (1, 'the'), (1, 'tion'), (2, 'de')) v(query_id, term)), tf AS (SELECT doc_id, term, count(*) AS tf FROM k WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 x AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN l USING (doc_id) JOIN q USING (term), s GROUP BY ALL)
 SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) WHERE rank <= 25""".replace("\\\\", "\\"))(
-    lambda s, d: retrieve.bm25(table(s, d, "documents").filter(F.col("source").startswith("w")).select("doc_id", "text"), s.createDataFrame(_TERMS, "query_id int, term string")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    lambda s, d: retrieve.bm25(table(s, d, "documents").filter(F.col("source").startswith("src1")).select("doc_id", "text"), s.createDataFrame(_TERMS, "query_id int, term string")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 )
 register("u08_new_rounds", f"WITH {_SERIAL}, n AS (SELECT doc_id, line_no, line, regexp_replace(line, '{WS}', '', 'g') AS body FROM l) SELECT doc_id, body, min(line_no) AS line_no FROM n WHERE body NOT IN (SELECT body FROM n WHERE doc_id < 20) GROUP BY doc_id, body")(
     lambda s, d: (lambda n: duplicates.unseen(n, n.filter("doc_id < 20"), "body", "line_no"))(segment.lines(documents(s, d)).select("doc_id", "line_no", T.replaced(F.col("line"), T.SPACE).alias("body")))
