@@ -102,7 +102,7 @@ def dictionary_candidate(term: Column) -> Column:
 
 
 def lookup_key(term: Column) -> Column:
-    """Without zero-width characters and in composed compatibility form, for equality of headwords."""
+    """The lookup term without zero-width characters, for equality of headwords; compatibility forms are not folded."""
     return replaced(lookup_term(term), r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]")
 
 

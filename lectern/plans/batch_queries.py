@@ -16,9 +16,6 @@ register("r06_within_budget", """SELECT event_id FROM (SELECT event_id, sum(leng
 register("r15_pruned", "SELECT o_orderkey AS hit_id, CASE WHEN o_totalprice < 50000 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) THEN 'pruned' ELSE 'active' END AS status FROM orders")(
     lambda s, d: select.pruned(table(s, d, "orders").selectExpr("o_orderkey AS hit_id", "o_totalprice AS score"), table(s, d, "lineitem").filter("l_quantity > 49").selectExpr("l_orderkey AS hit_id"), 50000.0).select("hit_id", "status")
 )
-register("p12_new_evidence", "SELECT event_id FROM events WHERE props NOT IN (SELECT props FROM events WHERE user_id < 50 AND props IS NOT NULL)")(
-    lambda s, d: table(s, d, "events").filter("props IS NOT NULL").join(table(s, d, "events").filter("user_id < 50").select("props").distinct(), "props", "left_anti").select("event_id")
-)
 register("p15_unexpired", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 3 DAY")(
     lambda s, d: select.unexpired(table(s, d, "events").withColumnRenamed("ts", "fetched_at"), F.lit(table(s, d, "events").selectExpr("string(max(ts))").first()[0]).cast("timestamp"), 3 * 86400).select("event_id")
 )
@@ -51,6 +48,9 @@ register("j16_documents", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unn
     lambda s, d: rewrite.pattern_check(documents(s, d), [("[0-9]+", "#")]).groupBy("doc_id").agg(F.count("*").alias("n"))
 )
 _PLAIN = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)"
+register("p12_new_evidence", f"""WITH {_PLAIN} SELECT doc_id, line_no FROM l WHERE substring(sha1(line), 1, 12) NOT IN (SELECT substring(sha1(text), 1, 12) FROM benchmark WHERE text IS NOT NULL)""")(
+    lambda s, d: segment.lines(documents(s, d)).withColumn("digest", T.digest(F.col("line"))).join(table(s, d, "benchmark").select(T.digest(F.col("text")).alias("digest")), "digest", "left_anti").select("doc_id", "line_no")
+)
 register("r05_grep_context", f"""WITH {_PLAIN}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l WHERE regexp_matches(line, '(?i)th[aeiou]n\\b'))
 SELECT h.doc_id, h.line_no, min(l.line_no) AS start_line, max(l.line_no) AS end_line, string_agg(l.line, chr(10) ORDER BY l.line_no) AS snippet FROM h JOIN l ON l.doc_id = h.doc_id AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2 WHERE k <= 80 GROUP BY ALL""")(
     lambda s, d: sections.expand(documents(s, d), retrieve.grep(documents(s, d), r"th[aeiou]n\b"))

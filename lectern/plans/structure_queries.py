@@ -39,8 +39,8 @@ x AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) WHERE rank <= 25""".replace("\\\\", "\\"))(
     lambda s, d: retrieve.bm25(table(s, d, "documents").filter(F.col("source").startswith("src1")).select("doc_id", "text"), s.createDataFrame(_TERMS, "query_id int, term string")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 )
-register("u08_new_rounds", f"WITH {_SERIAL}, n AS (SELECT doc_id, line_no, line, regexp_replace(line, '{WS}', '', 'g') AS body FROM l) SELECT doc_id, body, min(line_no) AS line_no FROM n WHERE body NOT IN (SELECT body FROM n WHERE doc_id < 20) GROUP BY doc_id, body")(
-    lambda s, d: (lambda n: duplicates.unseen(n, n.filter("doc_id < 20"), "body", "line_no"))(segment.lines(documents(s, d)).select("doc_id", "line_no", T.replaced(F.col("line"), T.SPACE).alias("body")))
+register("u08_new_rounds", f"WITH {_SERIAL}, n AS (SELECT doc_id, line_no, line, regexp_replace(line, '{WS}', '', 'g') AS body FROM l) SELECT doc_id, body, min(line_no) AS line_no FROM n WHERE body NOT IN (SELECT regexp_replace(text, '{WS}', '', 'g') FROM benchmark WHERE text IS NOT NULL) GROUP BY doc_id, body")(
+    lambda s, d: duplicates.unseen(segment.lines(documents(s, d)).select("doc_id", "line_no", T.replaced(F.col("line"), T.SPACE).alias("body")), table(s, d, "benchmark").select(T.replaced(F.col("text"), T.SPACE).alias("body")), "body", "line_no")
 )
 register("k01_sorted_entries", """SELECT doc_id, ch, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS rank FROM (SELECT doc_id, ch, count(*) AS n, min(pos) AS first_pos
 FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(0, length(text))) AS pos FROM documents) WHERE regexp_matches(ch, '[éèüñ]') GROUP BY doc_id, ch)""")(
