@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 
 def characters(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, ch), positions from 0."""
@@ -16,25 +18,25 @@ def character_check(df: DataFrame, dictionary: DataFrame, *, key: str = "doc_id"
 
     Texts without any variant are dropped first by one regular expression built from the dictionary.
     """
-    found = characters(df, key=key, text=text).join(dictionary, F.col("ch") == F.col("variant"))
+    found = characters(df, key=key, text=text).join(small(dictionary), F.col("ch") == F.col("variant"))
     return found.groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
 def word_check(df: DataFrame, dictionary: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, variant, preferred, n) for whole words (variant, preferred)."""
     words = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    return words.join(dictionary, F.col("w") == F.col("variant")).groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"))
+    return words.join(small(dictionary), F.col("w") == F.col("variant")).groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"))
 
 
 def last_character_check(df: DataFrame, dictionary: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, variant, preferred, n) for words whose last character is a variant."""
     words = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    return words.join(dictionary, F.right("w", F.lit(1)) == F.col("variant")).groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"))
+    return words.join(small(dictionary), F.right("w", F.lit(1)) == F.col("variant")).groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"))
 
 
 def outside_characters(df: DataFrame, allowed: DataFrame, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ch, n): characters of the pattern that the allowed list (ch) lacks."""
-    return characters(df, key=key, text=text).filter(F.col("ch").rlike(pattern)).join(allowed, "ch", "left_anti").groupBy(key, "ch").agg(F.count("*").alias("n"))
+    return characters(df, key=key, text=text).filter(F.col("ch").rlike(pattern)).join(small(allowed), "ch", "left_anti").groupBy(key, "ch").agg(F.count("*").alias("n"))
 
 
 def merged_entries(entries: DataFrame) -> DataFrame:

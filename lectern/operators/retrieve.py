@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import substrings
 from .segment import lines
+from .sizes import small
 
 
 def tokens(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,13 +30,13 @@ def bm25(df: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, to
     asked = queries.select("query_id", F.lower("term").alias("term")).distinct()
     counted = tokens(df, key=key, text=text)
     lengths = counted.groupBy(key).agg(F.count("*").alias("dl"))
-    tf = counted.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = counted.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
     df_terms = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = (
-        tf.join(df_terms, "term").join(lengths, key).crossJoin(F.broadcast(stats)).withColumn("part", part).join(asked, "term").groupBy("query_id", key).agg(F.sum("part").alias("score")).filter("score > 0")
+        tf.join(df_terms, "term").join(lengths, key).crossJoin(F.broadcast(stats)).withColumn("part", part).join(small(asked), "term").groupBy("query_id", key).agg(F.sum("part").alias("score")).filter("score > 0")
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
@@ -53,8 +54,8 @@ def bigram_cosine(df: DataFrame, queries: DataFrame, top: int = 20, least: float
     norms = grams.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     asked = bigrams(queries, key="query_id", text="query").withColumnRenamed("tf", "qtf")
     asked_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    dots = grams.join(asked, "gram").groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    scored = dots.join(norms, key).join(asked_norms, "query_id").withColumn("score", F.col("dot") / (F.col("norm") * F.col("qnorm"))).filter(F.col("score") >= least)
+    dots = grams.join(small(asked), "gram").groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+    scored = dots.join(norms, key).join(small(asked_norms), "query_id").withColumn("score", F.col("dot") / (F.col("norm") * F.col("qnorm"))).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", key, "score", "rank")
 
