@@ -140,7 +140,11 @@ def deduplicate(df: DataFrame, *, key: str = "doc_id", text: str = "text", width
     Rows that repeat a key count as copies, and one of them stays. Rows with a null key
     cannot be named and stay. The texts are shuffled once, by key.
     """
-    found = near_duplicates(df, key=key, text=text, width=width, radius=radius)
+    return keep_one(df, near_duplicates(df, key=key, text=text, width=width, radius=radius), key=key)
+
+
+def keep_one(df: DataFrame, found: DataFrame, *, key: str) -> DataFrame:
+    """The rows of df whose key names their component in found (key, component_id), one for each key."""
     tally = materialize(found.groupBy(key, "component_id").agg(F.count("*").alias("n")))
     kept = df.join(tally.filter(F.col(key) != F.col("component_id")).select(key), key, "left_anti")
     repeated = tally.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("n")).filter("n > 1")
