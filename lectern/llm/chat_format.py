@@ -174,7 +174,7 @@ def repair(df: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str
                 out[-1] = (*out[-1][:6], out[-1][6] + CLOSE, cost)
         return pd.DataFrame(out, columns=["k", "t", "piece", "role_in", "role", "action", "rendered", "cost"])
 
-    sums = rows.select("k", "b", "t", "r", "x", dealt("k", "b")).groupBy("g").applyInPandas(matrices, "k string, b long, m array<double>")
+    sums = rows.select("k", "b", "t", "r", dealt("k", "b")).groupBy("g").applyInPandas(matrices, "k string, b long, m array<double>")
     states = materialize(sums.select("*", dealt("k")).groupBy("g").applyInPandas(chains, "k string, b long, start int, end int, last boolean, cost double"))
     joined = rows.join(states.withColumnsRenamed({"k": "sk", "b": "sb"}), F.col("k").eqNullSafe(F.col("sk")) & (F.col("b") == F.col("sb"))).drop("sk", "sb")
     schema = "k string, t long, piece int, role_in string, role string, action string, rendered string, cost double"

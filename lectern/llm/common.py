@@ -14,13 +14,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_checkpoints(spark: SparkSession) -> None:
     """Point the session at its shared checkpoint folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a temporary one is
-    made only where that setting is absent, as in local tests.
+    The cluster names the folder in ``spark.checkpoint.dir``. Where that setting is absent a temporary one is
+    made in local mode only, as in tests; on a cluster other machines could not read it, so that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-")
+    context.setCheckpointDir(folder)
 
 
 def materialize(df: DataFrame) -> DataFrame:

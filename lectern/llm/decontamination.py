@@ -5,8 +5,8 @@ by k = floor(rate * m) edits. Cut into k + 1 pieces, any occurrence within k edi
 piece unchanged, so an automaton over all pieces proposes places, and Myers' bit-parallel distance
 verifies each of them over the whole item.
 
-Edge cases: a null text or item is the empty text; an item under ``shortest`` normalized
-characters is no evidence and never matches; a text of any length is scanned whole, in one row; repeated
+Edge cases: a null text or item is the empty text, and an empty item never matches; an item under ``shortest`` normalized
+characters allows no edits and counts only where it stands as whole words, so that it is not found inside others; a text of any length is scanned whole, in one row; repeated
 rows are reported each; of several places the one with fewest edits, then the leftmost, is reported;
 an empty table on either side gives no match; other columns pass through untouched.
 """
@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import whole_text
 
-#: Share of an item's characters that may differ, and the least characters of an item.
+#: Share of an item's characters that may differ, and the characters below which an item must stand exactly, as whole words.
 RATE, SHORTEST = 0.05, 32
 #: Bytes of items matched in one pass; a larger test set takes more passes, each of bounded memory.
 BLOCK_BYTES = 8_000_000
@@ -69,7 +69,9 @@ class Matcher:
     """One block of items, ready to be searched in texts."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float, shortest: int):
-        self.items = [(key, t, int(rate * len(t))) for key, raw in items if len(t := normalized(raw)) >= shortest]
+        texts = [(key, normalized(raw)) for key, raw in items]
+        self.items = [(key, t, int(rate * len(t))) if len(t) >= shortest else (key, f" {t} ", 0) for key, t in texts if t]
+        self.short = {n for n, (_, t, _) in enumerate(self.items) if t[0] == " "}
         self.masks: dict[int, tuple[dict, dict]] = {}
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, t, k) in enumerate(self.items):
@@ -113,10 +115,16 @@ class Matcher:
         if not self.items:
             return []
         text, proposed = normalized(raw), defaultdict(set)
+        if self.short:
+            text = f" {text} "
         for end, (size, places) in self.automaton.iter(text):
             for n, offset in places:
                 proposed[n].add(end - size + 1 - offset)
-        return [(self.items[n][0], *hit) for n in sorted(proposed) if (hit := self.verify(n, text, proposed[n]))]
+        hits = [(n, hit) for n in sorted(proposed) if (hit := self.verify(n, text, proposed[n]))]
+        if not self.short:
+            return [(self.items[n][0], *hit) for n, hit in hits]
+        size = len(text) - 2  # places without the blanks around the text and around short items
+        return [(self.items[n][0], edits, min(size, max(0, start - 1 + (n in self.short))), min(size, end - 1 - (n in self.short))) for n, (edits, start, end) in hits]
 
     def any(self, raw: str | None) -> bool:
         return bool(self.find(raw))

@@ -6,7 +6,7 @@ r is set where rule r fails. A policy is a versioned mask: a document is kept wh
 aggregation counts what a policy would keep without each of its rules.
 
 Edge cases: a null text is the empty text (no words: the length rule fails); a text of
-any length is handled inside its row; repeated rows are judged independently; an
+any length is handled inside its row; repeated rows are judged independently; a measurement equal to a rule's limit passes it; an
 empty table gives an empty ledger; other columns pass through, except that columns
 named like a ledger column are replaced.
 """

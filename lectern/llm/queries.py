@@ -41,8 +41,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = language_id.identify(docs, language_id.fit(docs), declared="lang", host="source")
+    suffix = F.nullif(F.regexp_extract("source", r"\.([^./]+)$", 1), F.lit(""))  # null where a source is no address
+    docs = table(spark, sf_dir, "documents").withColumn("suffix", suffix)
+    found = language_id.identify(docs, language_id.fit(docs), declared="lang", host="source", suffix="suffix")
     return found.select("doc_id", "lang", "language", "text_language", "confidence", "fit", "kept")
 
 
@@ -78,9 +79,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_repeat_words",
         (~quality_rules.passes(quality_rules.BASE)).alias("base_failed"),
         quality_rules.passes(quality_rules.POLICIES[-1]).alias("kept"),
+        "failed_bits",
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUALITY_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -98,13 +104,17 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
              length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters,
              length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_capitals
       FROM w LEFT JOIN c ON c.doc_id = w.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words
-            OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR (n_letters >= 50 AND 10 * n_capitals > 6 * n_letters) OR 2 * n_letters < word_chars) AS kept
-FROM m
+ledger AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
+       + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT
+       + 32 * (n_letters >= 50 AND 10 * n_capitals > 6 * n_letters)::BIGINT + 64 * (2 * n_letters < word_chars)::BIGINT AS failed_bits FROM m)
 """
+LEDGER_SQL = f"""{QUALITY_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM ledger"""
+ABLATION_SQL = f"""{QUALITY_SQL},
+p AS (SELECT * FROM (VALUES ('base', 3), ('v1', 15), ('v2', 127)) v(version, mask)),
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('capitals', 32), ('few_letters', 64)) v(rule, bit))
+SELECT version, rule, count(*) AS n_docs, sum((failed_bits & mask = 0)::INT)::BIGINT AS n_kept, sum((failed_bits & bit <> 0)::INT)::BIGINT AS n_failed,
+       sum((failed_bits & mask = bit)::INT)::BIGINT AS n_only, bit_or(failed_bits & mask) AS union_bits
+FROM ledger, p, r WHERE mask & bit <> 0 GROUP BY version, rule"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -120,9 +130,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_token_counts,
         op10_quality_rules,
         language_id_pages,
+        quality_ablations,
     )
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": QUALITY_SQL}
+    return {"op10_quality_rules": LEDGER_SQL, "quality_ablations": ABLATION_SQL}

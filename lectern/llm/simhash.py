@@ -7,7 +7,8 @@ least one table whose kept bits agree, so no pair within the radius is missed.
 
 Edge cases: a null text is the empty text, whose fingerprint is zero and links like any
 other; fewer words than the shingle width give one shingle of them all; repeated rows and
-equal texts share a fingerprint and so a component; an empty table gives an empty result.
+equal texts share a fingerprint and so a component; a very long text is hashed whole, SPAN shingles at a time; a bit set in exactly
+half of the hashes is 0; only id and text are read, so no other column clashes; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ identifier is ever produced.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; a text of any length
 is split at single spaces, so memory follows the longest run without a space;
-repeated rows are counted independently; other columns pass through untouched.
+repeated rows are counted independently, and there are no ties to break; an empty table gives an
+empty result; columns named n_bytes, n_tokens or over_limit are replaced, others pass through untouched.
 """
 
 from __future__ import annotations

@@ -287,7 +287,9 @@ def test_planted_items_are_found_with_their_edits(spark):
 
 def test_decontamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, "nine ten eleven"), (2, "one two three four five six seven eight"), (None, None)], "item_id long, text string")
-    assert [(r.doc_id, r.item_id) for r in decontamination.matches(rows(spark), bench).collect()] == [(3, 2)]
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in decontamination.matches(rows(spark), bench).orderBy("item_id").collect()] == [(3, 1, 40, 55), (3, 2, 0, 39)]
+    short = spark.createDataFrame([(1, "ten ele"), (2, "One"), (3, "x"), (4, " "), (5, "TIES")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in decontamination.matches(rows(spark), short).distinct().orderBy("item_id").collect()] == [(3, 2, 0, 3), (8, 5, 19, 23)]
     assert decontamination.decontaminate(rows(spark), bench).count() == len(TEXTS) + 2
     assert decontamination.matches(empty(spark), bench).count() == 0
     assert decontamination.decontaminate(rows(spark), bench.limit(0)).count() == len(TEXTS) + 3

@@ -6,7 +6,8 @@ pipeline = pytest.importorskip("corpus_pipeline")
 
 from lectern.llm import decontamination, language_id, quality_rules  # noqa: E402
 
-from .test_operators import SCHEMA, brute_components, brute_print, brute_quality, empty, rows  # noqa: E402
+from .test_near_copies import brute_labels  # noqa: E402
+from .test_operators import SCHEMA, brute_quality, empty, rows  # noqa: E402
 
 
 def passes(text):
@@ -32,7 +33,7 @@ def test_pipeline_equals_brute_force(spark, small):
     kept = {r.doc_id for r in language_id.identify(docs, language_id.fit(docs), declared="lang", host="source").filter("kept").collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept and passes(r.text)}
     ids = sorted(texts)
-    label = brute_components([brute_print(texts[i]) for i in ids], 3)
+    label = brute_labels([texts[i] for i in ids])
     texts = {i: texts[i] for n, i in enumerate(ids) if label[n] == n}
     items = [decontamination.normalized(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     clean = {i for i, t in texts.items() if not any(item in decontamination.normalized(t) for item in items)}
