@@ -373,7 +373,10 @@ def test_page_evidence(spark):
 
 def test_bit_predictions_sum_to_one_over_words():
     rng = np.random.default_rng(1)
-    mixer = lm_scoring.Mixer(*(rng.integers(0, 9, 1 << b).astype(np.float32) for b in (lm_scoring.SLOT_BITS,)), rng.integers(9, 20, 1 << lm_scoring.SLOT_BITS).astype(np.float32), rng.integers(0, 9, 1 << lm_scoring.PREFIX_BITS).astype(np.float32), rng.integers(9, 20, 1 << lm_scoring.PREFIX_BITS).astype(np.float32), rng.normal(0, 0.3, (lm_scoring.GATES, lm_scoring.INPUTS)), np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, lm_scoring.MAP))), (lm_scoring.GATES, 1)))
+    drawn = lambda bits: rng.normal(0, 3, 1 << bits).astype(np.float32)
+    levels = lambda bits, most: rng.integers(0, most, 1 << bits).astype(np.uint8)
+    rungs = np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, lm_scoring.MAP))), (lm_scoring.GATES, 1)).astype(np.float32)
+    mixer = lm_scoring.Frozen(drawn(lm_scoring.SLOT_BITS), levels(lm_scoring.SLOT_BITS, 3), drawn(lm_scoring.PREFIX_BITS), levels(lm_scoring.PREFIX_BITS, 6) * 3, rng.normal(0, 0.3, (lm_scoring.GATES, lm_scoring.INPUTS)).astype(np.float32), rungs)
     first = [bytes([b]) for b in range(256) if b != lm_scoring.STOP]
     ends = 10 ** mixer.costs([b""], np.zeros(1, np.int64))[0]
     longer = 0.0
