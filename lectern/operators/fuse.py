@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 # Weights and penalties of the final score.
 WEIGHTS = {"llm": 0.35, "channel": 0.25, "cooccurrence": 0.15, "scope": 0.15, "cluster": 0.10}
 NAVIGATION, SHORT, SHORT_CHARS = 0.4, 0.15, 20
@@ -52,17 +54,14 @@ def soft_selected(hits: DataFrame, least: float, most: int, most_chars: int) ->
     hits: (query_id, hit_id, score, chars). Each query's hits are folded in order.
     """
     ranked = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "hit_id", "score", "chars"))).alias("h"))
-    state = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<struct<hit_id: long, suggested: boolean>>").alias("out"))
+    state = F.struct(F.lit(0).cast("long").alias("chars"), F.array().cast("array<long>").alias("out"))
 
     def step(a, x):
-        take = (x.score >= least) & (a.n < most) & ((a.n == 0) | (a.chars + x.chars <= most_chars))
-        return F.struct(
-            (a.n + take.cast("int")).alias("n"),
-            (a.chars + F.when(take, x.chars).otherwise(0)).alias("chars"),
-            F.concat(a.out, F.array(F.struct(x.hit_id.cast("long").alias("hit_id"), take.alias("suggested")))).alias("out"),
-        )
+        take = (x.score >= least) & (F.size(a.out) < most) & ((F.size(a.out) == 0) | (a.chars + x.chars <= most_chars))
+        return F.struct((a.chars + F.when(take, x.chars).otherwise(0)).alias("chars"), F.when(take, F.concat(a.out, F.array(x.hit_id.cast("long")))).otherwise(a.out).alias("out"))
 
-    return ranked.select("query_id", F.inline(F.aggregate("h", state, step, lambda a: a.out)))
+    picked = ranked.withColumn("taken", F.aggregate("h", state, step, lambda a: a.out))  # at most ``most`` ids
+    return picked.select("query_id", F.inline(F.transform("h", lambda x: F.struct(x.hit_id.cast("long").alias("hit_id"), F.array_contains("taken", x.hit_id.cast("long")).alias("suggested")))))
 
 
 def quota_selected(entries: DataFrame, preferred: str, primary: int, relevant: int, long: int) -> DataFrame:
@@ -70,7 +69,7 @@ def quota_selected(entries: DataFrame, preferred: str, primary: int, relevant: i
 
     entries: (dict_id, digest, chars, relevance).
     """
-    take = lambda df, stage, n, *order: df.withColumn("nth", F.row_number().over(Window.orderBy(*order, "digest"))).filter(F.col("nth") <= n).select("digest", F.lit(stage).alias("stage"))
+    take = lambda df, stage, n, *order: df.orderBy(*order, "digest").limit(n).select("digest", F.lit(stage).alias("stage"))
     first = take(entries.filter(F.col("dict_id") == preferred), 1, primary, F.desc("chars"))
     second = take(entries.join(first, "digest", "left_anti"), 2, relevant, F.desc("relevance"), F.desc("chars"))
     third = take(entries.join(first, "digest", "left_anti").join(second, "digest", "left_anti"), 3, long, F.desc("chars"))
@@ -78,8 +77,9 @@ def quota_selected(entries: DataFrame, preferred: str, primary: int, relevant: i
 
 
 def tagged(hits: DataFrame, *, order: str = "ordinal") -> DataFrame:
-    """Add tag: R001, R002, ... in order."""
-    return hits.withColumn("tag", F.concat(F.lit("R"), F.lpad(F.row_number().over(Window.orderBy(order)).cast("string"), 3, "0")))
+    """Add tag: R001, R002, ... in order of a number."""
+    nth = F.col("nth").cast("string")
+    return numbered(hits, order).withColumn("tag", F.concat(F.lit("R"), F.when(F.length(nth) < 3, F.lpad(nth, 3, "0")).otherwise(nth))).drop("nth")
 
 
 def new_hits(incoming: DataFrame, active: DataFrame) -> DataFrame:
@@ -89,6 +89,6 @@ def new_hits(incoming: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def evicted(entries: DataFrame, cap: int) -> DataFrame:
-    """Entries (id, weight, created_at) beyond the cap: the lightest, then the oldest."""
-    excess = F.count("*").over(Window.partitionBy()) - cap
-    return entries.withColumn("_excess", excess).withColumn("_nth", F.row_number().over(Window.orderBy("weight", "created_at", "id"))).filter("_nth <= _excess").drop("_nth", "_excess")
+    """Entries (id, weight, created_at) beyond the cap: the lightest, then the oldest. The cap heaviest stay."""
+    kept = entries.orderBy(F.desc("weight"), F.desc("created_at"), F.desc("id")).limit(cap).select("id")
+    return entries.join(kept, "id", "left_anti")

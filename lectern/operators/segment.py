@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, line_endings, trimmed
+from ..functions.text import SPACE, bound, line_endings, trimmed
 
 # What may close a sentence after its stop, and what ends a clause.
 CLOSERS = r"""["')）\]】」』”’]"""
@@ -30,61 +30,66 @@ def _blank(line: Column) -> Column:
     return trimmed(line) == ""
 
 
-def _fold(items: Column, starts, ends, size=None) -> Column:
-    """Group consecutive items: a new group starts before an item where starts(state, item), and
-    closes after one where ends(state, item); state holds the group and its size so far."""
-    size = size or (lambda x: F.length(x))
-    none = F.array().cast("array<string>")
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("group"), F.lit(0).alias("n"))
+def _at(items: Column, starts: Column) -> Column:
+    """The items in runs that begin at the given places (from 1, ascending, 1 the first), joined by line breaks; items and starts are read once."""
+    ends = lambda b, i: F.when(i + 1 < F.size(b), F.get(b, i + 1)).otherwise(F.size(items) + 1)
+    return bound(starts, lambda b: F.transform(b, lambda a, i: F.array_join(F.slice(items, a, ends(b, i) - a), "\n")))
+
+
+def _starting(items: Column, starts) -> Column:
+    """Runs that begin at the first item and at every later one for which starts(item)."""
+    return bound(items, lambda xs: F.when(F.size(xs) > 0, _at(xs, F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: (i == 1) | starts(F.get(xs, i - 1))))).otherwise(xs))
+
+
+def _closing(items: Column, ends) -> Column:
+    """Runs that end with every item for which ends(item)."""
+    return bound(items, lambda xs: F.when(F.size(xs) > 0, _at(xs, F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: (i == 1) | ends(F.get(xs, i - 2))))).otherwise(xs))
+
+
+def _filled(items: Column, limit: int) -> Column:
+    """Runs that close at the first blank item once they hold limit characters; only the places of the breaks are carried along."""
 
     def step(a: Column, x: Column) -> Column:
-        fresh = starts(a, x) & (F.size(a.group) > 0)
-        done = F.when(fresh, F.concat(a.done, F.array(a.group))).otherwise(a.done)
-        group = F.concat(F.when(fresh, none).otherwise(a.group), F.array(x))
-        n = F.when(fresh, 0).otherwise(a.n) + size(x)
-        close = ends(n, x)
-        return F.struct(
-            F.when(close, F.concat(done, F.array(group))).otherwise(done).alias("done"),
-            F.when(close, none).otherwise(group).alias("group"),
-            F.when(close, 0).otherwise(n).alias("n"),
-        )
+        n = a.n + F.length(x)
+        close = (n >= limit) & _blank(x)
+        return F.struct(F.when(close, F.concat(a.starts, F.array(a["at"] + 1))).otherwise(a.starts).alias("starts"), F.when(close, 0).otherwise(n).alias("n"), (a["at"] + 1).alias("at"))
 
-    groups = F.aggregate(items, state, step, lambda a: F.when(F.size(a.group) > 0, F.concat(a.done, F.array(a.group))).otherwise(a.done))
-    return F.transform(groups, lambda g: F.array_join(g, "\n"))
+    begin = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("n"), F.lit(1).alias("at"))
+    found = lambda xs: F.aggregate(xs, begin, step, lambda a: F.filter(a.starts, lambda k: k <= F.size(xs)))
+    return bound(items, lambda xs: F.when(F.size(xs) > 0, _at(xs, found(xs))).otherwise(xs))
 
 
 def by_length(df: DataFrame, cut_by: int = 600, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Chunks that close at the first blank line once their lines hold cut_by characters (50 at least)."""
     limit = max(50, cut_by)
-    pieces = _fold(F.split(line_endings(F.col(text)), "\n"), lambda a, x: F.lit(False), lambda n, x: (n >= limit) & _blank(x))
-    return _pieces(df, key, pieces, "target")
+    return _pieces(df, key, _filled(F.split(line_endings(F.col(text)), "\n"), limit), "target")
 
 
 def by_title(df: DataFrame, levels: tuple[int, ...] = (2,), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sections that begin at a line of exactly one of the heading levels."""
     title = lambda x: F.lit(False) if not levels else x.rlike("^(?:" + "|".join("#" * n for n in levels) + ") ")
-    return _pieces(df, key, _fold(F.split(line_endings(F.col(text)), "\n"), lambda a, x: title(x), lambda n, x: F.lit(False)), "target")
+    return _pieces(df, key, _starting(F.split(line_endings(F.col(text)), "\n"), title), "target")
 
 
 def by_title_and_length(df: DataFrame, levels: tuple[int, ...] = (2,), cut_by: int = 600, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, section, idx, target, context): each section cut by length, with the section as context."""
     sections = by_title(df, levels, key=key, text=text).withColumnsRenamed({"idx": "section", "target": "context"})
     limit = max(50, cut_by)
-    pieces = _fold(F.split("context", "\n"), lambda a, x: F.lit(False), lambda n, x: (n >= limit) & _blank(x))
+    pieces = _filled(F.split("context", "\n"), limit)
     return sections.select(key, "section", "context", F.posexplode(pieces).alias("idx", "target")).select(key, "section", "idx", "target", "context")
 
 
 def resplit_long(df: DataFrame, threshold: int = 1500, cut_by: int = 800, *, key: str = "doc_id", target: str = "target") -> DataFrame:
     """Units (key, idx, target) with those over the threshold cut again: (key, idx, piece, target)."""
     limit = max(50, cut_by)
-    cut = _fold(F.split(F.col(target), "\n"), lambda a, x: F.lit(False), lambda n, x: (n >= limit) & _blank(x))
+    cut = _filled(F.split(F.col(target), "\n"), limit)
     pieces = F.when(F.length(target) > threshold, cut).otherwise(F.array(F.col(target)))
     return df.select(key, "idx", F.posexplode(pieces).alias("piece", target))
 
 
 def merge_short(df: DataFrame, least: int = 100, *, key: str = "doc_id", units: str = "units") -> DataFrame:
     """Short units join the next long one; short ones at the end form one unit. units is an array column."""
-    return _pieces(df, key, _fold(F.col(units), lambda a, x: F.lit(False), lambda n, x: F.length(x) >= least), "target")
+    return _pieces(df, key, _closing(F.col(units), lambda x: F.length(x) >= least), "target")
 
 
 def marked_sentences(text: Column) -> Column:
@@ -106,14 +111,13 @@ def sentence_spans(df: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     A span's start line is that of its first visible character. Blank spans are left out.
     """
-    state = F.struct(F.array().cast("array<struct<s: string, at: int, line: int>>").alias("out"), F.lit(0).alias("at"), F.lit(1).alias("line"))
     breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    begin = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<int>").alias("line"), F.lit(0).alias("a"), F.lit(1).alias("l"))
     step = lambda a, s: F.struct(
-        F.concat(a.out, F.array(F.struct(s.alias("s"), a["at"].alias("at"), a.line.alias("line")))).alias("out"),
-        (a["at"] + F.length(s)).alias("at"),
-        (a.line + breaks(s)).alias("line"),
+        F.concat(a["at"], F.array(a.a)).alias("at"), F.concat(a.line, F.array(a.l)).alias("line"), (a.a + F.length(s)).alias("a"), (a.l + breaks(s)).alias("l")
     )
-    spans = F.aggregate(F.filter(F.split(marked_sentences(F.col(text)), CUT), lambda s: s != ""), state, step, lambda a: a.out)
+    places = lambda ss: bound(F.aggregate(ss, begin, step), lambda p: F.transform(ss, lambda s, i: F.struct(s.alias("s"), F.get(p["at"], i).alias("at"), F.get(p.line, i).alias("line"))))
+    spans = bound(F.filter(F.split(marked_sentences(F.col(text)), CUT), lambda s: s != ""), places)
     rows = df.select(key, F.inline(F.filter(spans, lambda x: trimmed(x.s) != "")))
     lead = F.regexp_extract("s", rf"^{SPACE}*", 0)
     body = F.regexp_replace("s", rf"{SPACE}+$", "")
@@ -135,15 +139,16 @@ def clauses(df: DataFrame, ends: str = CLAUSE_ENDS, *, key: str = "doc_id", text
 
 def paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start_line, end_line, paragraph): runs of lines that are not blank, numbered from 1."""
-    numbered = F.transform(F.split(line_endings(F.col(text)), "\n"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
-    none = F.array().cast("array<struct<x: string, i: int>>")
-    state = F.struct(F.array().cast("array<array<struct<x: string, i: int>>>").alias("done"), none.alias("run"))
-    step = lambda a, x: F.when(
-        _blank(x.x), F.struct(F.when(F.size(a.run) > 0, F.concat(a.done, F.array(a.run))).otherwise(a.done).alias("done"), none.alias("run"))
-    ).otherwise(F.struct(a.done.alias("done"), F.concat(a.run, F.array(x)).alias("run")))
-    runs = F.aggregate(numbered, state, step, lambda a: F.when(F.size(a.run) > 0, F.concat(a.done, F.array(a.run))).otherwise(a.done))
-    each = F.transform(runs, lambda r: F.struct(r[0].i.alias("start_line"), F.element_at(r, -1).i.alias("end_line"), F.array_join(F.transform(r, lambda x: x.x), "\n").alias("paragraph")))
-    return df.select(key, F.inline(each))
+
+    def runs(xs: Column) -> Column:
+        blank = lambda i: (i < 1) | (i > F.size(xs)) | _blank(F.get(xs, i - 1))
+        places = F.sequence(F.lit(1), F.size(xs))
+        starts = F.filter(places, lambda i: ~blank(i) & blank(i - 1))
+        ends = F.filter(places, lambda i: ~blank(i) & blank(i + 1))
+        each = lambda z: F.struct(z.a.alias("start_line"), z.b.alias("end_line"), F.array_join(F.slice(xs, z.a, z.b - z.a + 1), "\n").alias("paragraph"))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), each)
+
+    return df.select(key, F.inline(bound(F.split(line_endings(F.col(text)), "\n"), runs)))
 
 
 def headings(df: DataFrame, levels: tuple[int, ...] = (1, 2, 3, 4, 5, 6), *, key: str = "doc_id", text: str = "text") -> DataFrame:
