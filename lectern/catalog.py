@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import align, check, duplicates, fuse, retrieve, rewrite, segment, stats
 from .sources import files
-from .plans import batch_queries, document_queries, hit_queries, structure_queries  # noqa: F401
+from .plans import batch_queries, document_queries, hit_queries, structure_queries, table_queries  # noqa: F401
 from .plans.registry import ORACLE, QUERIES, Query, documents as _docs, register as _register, sql_rows as _sql_values, values as _values
 from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, sql_trim, table
 
@@ -92,9 +92,6 @@ FROM (SELECT doc_id, text AS t FROM documents)""")(
     lambda s, d: _docs(s, d).select("doc_id", F.array_sort(T.ngrams(F.col("text"), 3)).alias("grams"))
 )
 _WORDPAIRS = [(1, "abcd", "abce"), (2, "", "x"), (3, "same", "same"), (4, "ab", "abab"), (5, "天地玄黄", "天地黄玄")]
-_register("f08_jaccard", "SELECT * FROM (VALUES (1, 0.5e0), (2, 0.0e0), (3, 1.0e0), (4, 0.5e0), (5, 0.2e0)) v(id, score)")(
-    lambda s, d: _values(_WORDPAIRS, "id int, a string, b string")(s, d).select("id", F.round(T.jaccard(F.col("a"), F.col("b"), 2), 6).alias("score"))
-)
 _register("f09_token_estimate", rf"""WITH c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '[\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) AS wide,
  length(text) - length(regexp_replace(text, '{WS}', '', 'g')) AS sp FROM documents)
 SELECT doc_id, ceil(round(wide * 1.5 + sp * 0.15 + (n - wide - sp) * 0.25, 6))::BIGINT AS tokens FROM c""")(
@@ -119,9 +116,6 @@ _register("f21_numbers", "SELECT * FROM (VALUES (1, 21, 1994, 28, 3, 10002), (2,
     lambda s, d: _values([(1, "二十一", "MCMXCIV", "AB", "③", "1.2"), (2, "十", "IV", "a", "⑳", "1")], "id int, h string, r string, l string, c string, m string")(s, d).select(
         "id", T.han_number(F.col("h")).alias("han"), T.roman_number(F.col("r")).alias("roman"), T.letter_number(F.col("l")).alias("letter"), T.circled_number(F.col("c")).cast("int").alias("circled"), T.multi_level(F.col("m")).alias("multi"))
 )
-_register("f35_confidence", "SELECT * FROM (VALUES (1, 0.85e0), (2, 0.9e0), (3, 0.4e0), (4, NULL), (5, NULL)) v(id, c)")(
-    lambda s, d: _values([(1, "85%"), (2, "0.9"), (3, "40"), (4, "high"), (5, "-3")], "id int, x string")(s, d).select("id", T.confidence(F.col("x")).alias("c"))
-)
 
 # statistics
 
@@ -181,9 +175,6 @@ SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc
     lambda s, d: retrieve.grep(_docs(s, d), r"th[aeiou]n\b")
 )
 _HITS = [("a", 5, "l5", 0.3), ("a", 5, "l5", 0.9), ("a", 8, "l8", 0.5), ("a", 20, "l20", 0.5), ("b", 21, "m", 0.95), ("b", 40, "n", 0.1)]
-_register("w07_merge_hits", "SELECT * FROM (VALUES ('b', 21, 21, 'm', 0.95e0), ('a', 5, 8, 'l5\nl8', 0.9e0), ('a', 20, 20, 'l20', 0.5e0)) v(file, start_line, end_line, snippet, value)")(
-    lambda s, d: retrieve.merge_hits(s.createDataFrame(_HITS, "file string, line int, line_text string, value double"), 3)
-)
 
 # checks
 
@@ -202,15 +193,7 @@ _register("j13_outside_characters", f"""SELECT doc_id, ch, count(*) AS n FROM (S
     lambda s, d: check.outside_characters(_docs(s, d), s.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyzéèü"], "ch string"), r"\p{L}")
 )
 _ENTRIES = [(1, "single", "v1", "p1", 2), (2, "custom", "v1", "p1", 3), (2, "custom", "v2", "p2", 1)]
-_register("j28_merged_entries", "SELECT * FROM (VALUES ('v1', 'p1', 5, 'single'), ('v2', 'p2', 1, 'custom')) v(variant, preferred, n, label)")(
-    lambda s, d: check.merged_entries(s.createDataFrame(_ENTRIES, "ordinal int, label string, variant string, preferred string, n int"))
-)
 _NODES = [(1, 0, "arabic", 1, i, v) for i, v in enumerate((1, 2, 2, 5, 3))] + [(1, 7, "arabic", 2, 9, 1), (1, 8, "han", 2, 11, 2), (1, 8, "han", 2, 12, 3)]
-_register("w01_sibling_issues", """SELECT * FROM (VALUES (1, 0, 'arabic', 1, 2, 'duplicate'), (1, 0, 'arabic', 1, 3, 'gap'), (1, 0, 'arabic', 1, 4, 'order'), (1, 7, 'arabic', 2, 9, 'isolated'), (1, 8, 'han', 2, 11, 'start'))
-v(doc_id, parent, slot, level, line_no, issue)""")(lambda s, d: check.sibling_issues(s.createDataFrame(_NODES, "doc_id int, parent int, slot string, level int, line_no int, value int")))
-_register("a16_mixed_slots", "SELECT * FROM (VALUES (1, 2, 2)) v(doc_id, level, n_slots)")(
-    lambda s, d: check.mixed_slots(s.createDataFrame(_NODES, "doc_id int, parent int, slot string, level int, line_no int, value int"))
-)
 _register("j22_heading_difference", f"""WITH {_HEADS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM heads)
 SELECT doc_id, min(k) AS "at", 'missing' AS reason FROM n WHERE k > 2 GROUP BY doc_id""")(
     lambda s, d: (lambda h: check.first_heading_difference(h, h.withColumn("k", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY line_no)")).filter("k <= 2").drop("k")))(segment.headings(md_docs(s, d)))
@@ -219,31 +202,11 @@ SELECT doc_id, min(k) AS "at", 'missing' AS reason FROM n WHERE k > 2 GROUP BY d
 # fusion
 
 _FUSE = [(1, "u1", "bm25", 0.5, ["a"]), (2, "u1", "grep", 0.8, ["b", "a"]), (3, "u2", "grep", 0.1, ["c"])]
-_register("u04_fused", "SELECT * FROM (VALUES ('u1', 1, 'bm25', 0.8e0, 'a,b'), ('u2', 3, 'grep', 0.1e0, 'c')) v(unit_key, ordinal, source, score, patterns)")(
-    lambda s, d: fuse.fused(s.createDataFrame(_FUSE, "ordinal int, unit_key string, source string, score double, patterns array<string>")).select("unit_key", "ordinal", "source", "score", F.array_join("patterns", ",").alias("patterns"))
-)
 _SCORED = [(1, 0.9, 0.5, 2, 0.4, 3, "text", "a snippet that is long enough"), (2, 0.1, 0.0, 1, 0.0, 1, "navigation_hint", "short")]
-_register("r08_final_score", "SELECT * FROM (VALUES (1, 0.585e0), (2, 0.0e0)) v(hit_id, final_score)")(
-    lambda s, d: fuse.final_score(s.createDataFrame(_SCORED, "hit_id int, llm double, channel double, n_patterns int, scope double, n_in_file int, kind string, snippet string")).select("hit_id", F.round("final_score", 6).alias("final_score"))
-)
 _CAP = [(i, "f" if i < 7 else "", i / 10) for i in range(10)]
-_register("w08_capped", "SELECT i AS hit_id FROM range(2, 10) t(i)")(lambda s, d: fuse.capped(s.createDataFrame(_CAP, "hit_id long, file string, score double")).select("hit_id"))
 _SOFT = [(1, 1, 0.9, 50), (1, 2, 0.8, 60), (1, 3, 0.7, 40), (1, 4, 0.1, 1), (2, 5, 0.6, 500)]
-_register("w10_soft_selected", "SELECT * FROM (VALUES (1, 1, true), (1, 2, false), (1, 3, true), (1, 4, false), (2, 5, true)) v(query_id, hit_id, suggested)")(
-    lambda s, d: fuse.soft_selected(s.createDataFrame(_SOFT, "query_id int, hit_id int, score double, chars int"), 0.3, 3, 100)
-)
 _QUOTA = [("p", "d1", 3, 0.1), ("p", "d2", 9, 0.1), ("q", "d3", 4, 0.9), ("q", "d4", 8, 0.2)]
-_register("w11_quota_selected", "SELECT * FROM (VALUES ('d2', 1), ('d3', 2), ('d4', 3)) v(digest, stage)")(
-    lambda s, d: fuse.quota_selected(s.createDataFrame(_QUOTA, "dict_id string, digest string, chars int, relevance double"), "p", 1, 1, 1)
-)
-_register("w12_tagged", "SELECT * FROM (VALUES (1, 'R001'), (2, 'R002'), (3, 'R003')) v(ordinal, tag)")(
-    lambda s, d: fuse.tagged(s.createDataFrame(_FUSE, "ordinal int, unit_key string, source string, score double, patterns array<string>")).select("ordinal", "tag")
-)
 _MEMORY = [(1, 1, 10), (2, 9, 5), (3, 1, 7)]
-_register("w14_evicted", "SELECT * FROM (VALUES (3)) v(id)")(lambda s, d: fuse.evicted(s.createDataFrame(_MEMORY, "id int, weight int, created_at int"), 2).select("id"))
-_register("u03_new_hits", "SELECT * FROM (VALUES ('b', 2)) v(digest, ordinal)")(
-    lambda s, d: fuse.new_hits(s.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "digest string, ordinal int"), s.createDataFrame([("a",)], "digest string"))
-)
 
 
 # alignment, citations and rewriting
@@ -275,9 +238,6 @@ def _aligned(s: SparkSession, d: str) -> DataFrame:
 
 
 _UNITS = [(0, "# H", "c0"), (1, "one", "c1"), (2, "two", "c2")]
-_register("j05_zip_units", "SELECT * FROM (VALUES (0, '# H', 'c0'), (1, 'one', 'un'), (2, 'two', 'deux')) v(idx, target, context)")(
-    lambda s, d: align.zip_units(s.createDataFrame(_UNITS, "idx int, target string, context string"), s.createDataFrame([(0, "# T", ""), (1, "un", ""), (2, "deux", "")], "idx int, target string, context string"))
-)
 _RULES = {"the": "THE", "they": "THEY", "de la": "DE-LA"}
 _register("e02_apply_rules", "SELECT doc_id, replace(replace(replace(replace(replace(text, 'they', chr(2)), 'de la', chr(3)), 'the', 'THE'), chr(2), 'THEY'), chr(3), 'DE-LA') AS text FROM documents")(
     lambda s, d: rewrite.apply_rules(_docs(s, d), _RULES)
@@ -288,12 +248,6 @@ _register("g20_quotes", "SELECT * FROM (VALUES (1, 1, 8, '“a「b」c”'), (1,
 )
 _register("f11_curled_quotes", "SELECT * FROM (VALUES (1, '“a” and “b”')) v(id, t)")(lambda s, d: s.createDataFrame([(1, ' "a" and "b" ')], "id int, x string").select("id", rewrite.curl(F.col("x")).alias("t")))
 _OLD, _NEW = [("a", 1, 10), ("b", 1, 10), ("c", 1, 10)], [("b", 1, 10), ("c", 2, 10), ("d", 1, 1)]
-_register("s05_changes", "SELECT * FROM (VALUES ('a', 'delete'), ('c', 'replace'), ('d', 'add')) v(file, action)")(
-    lambda s, d: files.changes(s.createDataFrame(_OLD, "file string, mtime int, size int"), s.createDataFrame(_NEW, "file string, mtime int, size int"))
-)
-_register("p05_in_scope", "SELECT * FROM (VALUES ('a/b.md', true), ('ab/c.md', false), ('a/x/y.md', false)) v(path, inside)")(
-    lambda s, d: s.createDataFrame([("a/b.md",), ("ab/c.md",), ("a/x/y.md",)], "path string").select("path", files.in_scope(F.col("path"), ["a"], ["a/x"]).alias("inside"))
-)
 
 
 def queries() -> dict[str, Query]:

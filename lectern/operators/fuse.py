@@ -92,3 +92,20 @@ def evicted(entries: DataFrame, cap: int) -> DataFrame:
     """Entries (id, weight, created_at) beyond the cap: the lightest, then the oldest. The cap heaviest stay."""
     kept = entries.orderBy(F.desc("weight"), F.desc("created_at"), F.desc("id")).limit(cap).select("id")
     return entries.join(kept, "id", "left_anti")
+
+
+def scored_and_sorted(hits: DataFrame) -> DataFrame:
+    """(query_id, hit_id, final_score, rank): hits with patterns counted by unit and by file, scored and ranked in their query."""
+    counted = hits.withColumn("n_patterns", F.sum(F.coalesce(F.size("patterns"), F.lit(1))).over(Window.partitionBy("unit_key"))).withColumn("n_in_file", F.count("*").over(Window.partitionBy("file")))
+    scored = final_score(counted).withColumn("final_score", F.round("final_score", 6))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "hit_id"))
+    return scored.select("query_id", "hit_id", "final_score", rank.alias("rank"))
+
+
+def united(channels: dict[str, DataFrame]) -> DataFrame:
+    """The hits of all channels, each with its source; columns that a channel lacks are null there."""
+    out = None
+    for source, hits in channels.items():
+        own = hits.withColumn("source", F.lit(source))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out

@@ -207,3 +207,40 @@ def preset_dictionary(traditional: DataFrame, variants: DataFrame) -> DataFrame:
     """(simplified, others): all traditional and variant forms of tables (simplified, forms) as one string."""
     both = traditional.withColumnRenamed("forms", "t").join(variants.withColumnRenamed("forms", "v"), "simplified", "full")
     return both.select("simplified", F.concat(F.coalesce("t", F.lit("")), F.coalesce("v", F.lit(""))).alias("others"))
+
+
+def active_sorted(hits: DataFrame, *, group: str = "query_id") -> DataFrame:
+    """The active hits with rank in their group: best first, then by id."""
+    order = Window.partitionBy(group).orderBy(F.desc("score"), "hit_id")
+    return hits.filter("status = 'active'").withColumn("rank", F.row_number().over(order))
+
+
+def corpus_summary(hits: DataFrame, most: int = 24, *, group: str = "query_id") -> DataFrame:
+    """The best active evidence of each group, ``most`` at the most, each with a line of source and block."""
+    found = active_sorted(hits.filter("kind <> 'navigation_hint'"), group=group).filter(F.col("rank") <= most)
+    return found.withColumn("line", F.concat("source", F.lit(" "), "block"))
+
+
+def fallback_entries(terms: DataFrame, entries: DataFrame) -> DataFrame:
+    """terms (query_id, term, alternatives array) with the entries (headword, ...) of the first of their forms that has any.
+
+    All forms are looked up in one join; attempt counts from 0, the term itself.
+    """
+    forms = F.concat(F.array("term"), F.coalesce("alternatives", F.array().cast("array<string>")))
+    asked = terms.select("query_id", F.posexplode(forms).alias("attempt", "key"))
+    met = asked.join(entries, asked["key"] == entries["headword"])
+    first = F.min("attempt").over(Window.partitionBy("query_id"))
+    return met.withColumn("_first", first).filter("attempt = _first").drop("_first", "key")
+
+
+def entry_scores(entries: DataFrame, priority: str = "priority") -> DataFrame:
+    """entries (target, matched_key, cleaned, candidates, priority) with relevance, of wording and sense, and final_score."""
+    wording = E.relevance(F.col("target"), F.col("matched_key"), F.col("cleaned"), F.col("candidates"))
+    sense = E.sense_fit(F.col("target"), F.concat_ws("\n", "matched_key", "cleaned"))
+    relevance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), wording * 0.55 + sense * 0.45))
+    return entries.withColumn("relevance", relevance).withColumn("final_score", F.greatest(F.col(priority) * 0.5, relevance))
+
+
+def remembered(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers of the cache (key, value), queries it lacks): asked (key, ...) against entries that still hold."""
+    return asked.join(cache, "key"), asked.join(cache.select("key"), "key", "left_anti")

@@ -37,9 +37,6 @@ register("f41_anchor_terms", "SELECT * FROM (VALUES (1, '李白/李朴,李白,
 register("j27_unasked", "SELECT * FROM (VALUES (2), (3)) v(query_id)")(
     lambda s, d: select.unasked(values(_PLAN, "query_id int, intent string, terms array<string>")(s, d), values([("entity", ["李白/李华初"])], "intent string, terms array<string>")(s, d)).select("query_id")
 )
-register("j29_allowed_sources", "SELECT * FROM (VALUES (1, 'bm25'), (2, 'dict,bm25'), (3, 'dict,bm25,web')) v(query_id, sources)")(
-    lambda s, d: select.allowed_sources(values([(1, "citation"), (2, "other"), (3, "term_norm")], "query_id int, intent string")(s, d), ("dict", "bm25", "web")).select("query_id", F.array_join("sources", ",").alias("sources"))
-)
 register("r09_scope_match", """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark)
 SELECT item_id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains('the people of this place were not the same in those years', x)))::DOUBLE / len(w) ELSE 0 END, 6) AS score FROM t""")(
     lambda s, d: table(s, d, "benchmark").select("item_id", F.round(E.contained_share(E.match_tokens(F.col("text")), F.lit("the people of this place were not the same in those years")), 6).alias("score"))
@@ -49,16 +46,8 @@ register("r12_relevance", "SELECT * FROM (VALUES (1, 0.583333e0), (2, 0.0e0), (3
         "id", F.round(E.relevance(F.col("t"), F.col("h"), F.col("b"), F.col("c")), 6).alias("score"))
 )
 _JUDGED = [("R1", 0.9), ("R2", 0.8), ("R3", 0.7), ("R4", 0.6)]
-register("r14_reranked", "SELECT * FROM (VALUES ('R1', 0.95e0, 'active', true), ('R2', 0.15e0, 'active', false), ('R3', 0.7e0, 'pruned', false), ('R4', 0.0e0, 'active', false)) v(tag, score, status, suggestible)")(
-    lambda s, d: select.reranked(values(_JUDGED, "tag string, score double")(s, d), values([("R1", 0.95, "keep"), ("R2", 0.5, "drop"), ("R4", None, "drop")], "tag string, new_score double, action string")(s, d), values([("R3",)], "tag string")(s, d))
-)
 _BLOCKS = [(1, 1, "active", "text", True, 0.4, "b", "dict"), (1, 2, "active", "text", True, 0.9, "a", "web"), (1, 3, "active", "text", False, 1.0, "x", "web"), (2, 4, "active", "text", None, 0.1, "c", "dict"), (2, 5, "active", "navigation_hint", None, 0.5, "n", "dict"), (2, 6, "pruned", "text", None, 0.5, "p", "dict")]
 _BLOCK = "query_id int, hit_id int, status string, kind string, suggested boolean, score double, block string, source string"
-register("r16_merged_reference", "SELECT * FROM (VALUES (1, 'a\n\nb'), (2, 'c')) v(query_id, reference)")(lambda s, d: select.merged_reference(values(_BLOCKS, _BLOCK)(s, d)))
-register("h05_coverage", "SELECT * FROM (VALUES (1, 'dict', 1, 1), (1, 'web', 2, 1), (2, 'dict', 2, 0)) v(query_id, source, active, suggested)")(lambda s, d: select.coverage(values(_BLOCKS, _BLOCK)(s, d)))
-register("k05_export_order", "SELECT * FROM (VALUES (1, 2), (2, 1), (3, 3)) v(hit_id, rank)")(
-    lambda s, d: select.export_order(values([(1, 1, "web", 0.5), (1, 2, "dict", 0.5), (1, 3, "dict", 0.1)], "query_id int, hit_id int, source string, score double")(s, d)).select("hit_id", "rank")
-)
 register("w09_top_per_group", """SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")(
     lambda s, d: select.top_per_group(table(s, d, "orders"), 3, group="o_custkey", score="o_totalprice", tie="o_orderkey").select("o_custkey", "o_orderkey", "rank")
 )
@@ -70,37 +59,15 @@ register("k02_by_confidence", "SELECT o_orderkey, row_number() OVER (PARTITION B
 )
 register("p08_confident", "SELECT event_id FROM events WHERE value IS NULL OR value >= 50")(lambda s, d: table(s, d, "events").filter("value IS NULL OR value >= 50").select("event_id"))
 _FOUND = [("v1", "p1", 5, "single"), ("v2", "p1x", 1, "custom"), ("w", "q", 9, None)]
-register("p07_filtered_entries", "SELECT 'v1' AS variant")(lambda s, d: select.filter_entries(values(_FOUND, "variant string, preferred string, n int, label string")(s, d), " p1 ", ("single", "custom"), 2).select("variant"))
 register("a12_hit_counts", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey) AS n_patterns, count(*) OVER (PARTITION BY l_orderkey) AS n_in_file FROM lineitem")(
     lambda s, d: select.hit_counts(table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey AS unit_key", "l_orderkey AS file", "array('p') AS patterns")).select("l_orderkey", "l_linenumber", "n_patterns", "n_in_file")
 )
-register("a15_round_counts", "SELECT * FROM (VALUES (0, 'q', 2), (1, 'q', 1), (2, 'z', 0)) v(round, query_id, n)")(
-    lambda s, d: select.round_counts(values([(0, "r0", "q"), (1, "r1", "q"), (2, "r2", "z")], "round int, round_id string, query_id string")(s, d), values([("q", "r0"), ("q", None), ("q", "r1")], "query_id string, round_id string")(s, d))
-)
 _ENTRIES = [("ab", "1"), ("abc", "2"), ("abd", "3"), ("x", "4"), ("ａｂ", "5")]
-register("j07_exact_entries", "SELECT * FROM (VALUES ('ab', '1'), ('a​bc', '2')) v(term, body)")(
-    lambda s, d: select.exact_entries(values([("ab",), ("a​bc",), ("none",)], "term string")(s, d), values(_ENTRIES, "headword string, body string")(s, d)).select("term", "body")
-)
-register("j08_prefix_entries", "SELECT * FROM (VALUES ('ab', 'ab', '1'), ('abd', 'abd', '3')) v(term, headword, body)")(
-    lambda s, d: select.prefix_entries(values([("ab",), ("abd",), ("x",), ("zz",)], "term string")(s, d), values(_ENTRIES, "headword string, body string")(s, d))
-)
-register("k08_try_order", "SELECT * FROM (VALUES ('c', 1), ('a', 2), ('b', 3), ('d', 4)) v(dict_id, rank)")(
-    lambda s, d: select.try_order(values([("p", "a", 50), ("p", "b", 10), ("p", "c", None), ("p", "d", None)], "profile string, dict_id string, priority int")(s, d), "c", "a").select("dict_id", "rank")
-)
 register("f25_era_years", "SELECT * FROM (VALUES (1, 1), (2, 10), (3, 15), (4, 20), (5, 99), (6, NULL), (7, 3)) v(id, year)")(
     lambda s, d: values([(1, "元"), (2, "十"), (3, "十五"), (4, "二十"), (5, "九十九"), (6, "百"), (7, "三")], "id int, t string")(s, d).select("id", E.era_year(F.col("t")).alias("year"))
 )
-register("f26_spans", "SELECT * FROM (VALUES (1, 1573, 1620, true), (2, -134, -129, false), (3, 910, NULL, true), (4, 1600, 1600, true)) v(id, first, last, inside)")(
-    lambda s, d: values([(1, "1573—1620"), (2, "前134—前129"), (3, "910—？"), (4, "1600")], "id int, raw string")(s, d).select("id", E.span(F.col("raw"))["start"].alias("first"), E.span(F.col("raw"))["end"].alias("last"), E.in_span(F.lit(1600), F.col("raw")).alias("inside"))
-)
-register("j19_era_years", "SELECT * FROM (VALUES ('万历', 15, '1573—1620', 1587)) v(key, year_index, raw, year)")(
-    lambda s, d: select.era_years(values([("万历", 15), ("万历", 90)], "key string, year_index int")(s, d), values([("万历", "1573—1620"), ("万历", "？—3")], "key string, raw string")(s, d))
-)
 register("s18_packed", "SELECT substring(sha1(lower(text)), 1, 2) AS digest, arg_min(doc_id, (-length(text), text, doc_id)) AS doc_id FROM documents GROUP BY 1")(
     lambda s, d: select.packed(documents(s, d).select(F.substring(F.sha1(F.lower("text")), 1, 2).alias("digest"), F.col("text").alias("body"), "doc_id")).join(documents(s, d), F.col("body") == F.col("text")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
 )
 _TABLE = [("a", [None, "b"]), ("cc", ["cc"]), ("d", [None]), ("e", ["e", "f"])]
 register("s15_dictionary_view", "SELECT * FROM (VALUES ('a', 'b')) v(variant, preferred)")(lambda s, d: select.dictionary_view(values(_TABLE, "variant string, preferred array<string>")(s, d), True, 1))
-register("a17_uneven_gaps", "SELECT 1 AS doc_id, 0 AS grandparent")(
-    lambda s, d: select.uneven_gaps(values([(1, 0, 1, 1), (1, 0, 1, 3), (1, 0, 2, 1), (1, 0, 2, 4), (1, 9, 3, 1), (1, 9, 3, 3), (1, 9, 4, 1), (1, 9, 4, 3)], "doc_id int, grandparent int, parent int, value int")(s, d))
-)

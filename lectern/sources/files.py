@@ -66,6 +66,12 @@ def changes(index: DataFrame, listing: DataFrame) -> DataFrame:
     return both.select("file", action.alias("action")).filter("action IS NOT NULL")
 
 
+def vanished_and_new(index: DataFrame, listing: DataFrame) -> DataFrame:
+    """(file, what): deleted files of the index, and added files of the listing."""
+    one = lambda a, b, what: a.select("file").distinct().join(b, "file", "left_anti").withColumn("what", F.lit(what))
+    return one(index, listing, "deleted").unionAll(one(listing, index, "added"))
+
+
 def in_scope(path, prefixes: list[str], excluded: list[str] = ()):
     """Whether a path lies in one of the folders and in no excluded one."""
     under = lambda p: (path == p) | path.startswith(p.rstrip("/") + "/")
