@@ -213,3 +213,74 @@ def circled_number(text: Column) -> Column:
     for low, high, first in ranges:
         out = F.when((code >= low) & (code <= high), code - low + first).otherwise(out)
     return out
+
+
+def raw_index(raw: Column, at: Column) -> Column:
+    """The offset in a text with CRLF line ends of an offset in the same text with LF ones."""
+    marked = replaced(raw, r"\r\n", "\u0001")
+    before = F.substring(marked, F.lit(1), at)
+    return at + F.length(before) - F.length(F.replace(before, F.lit("\u0001"), F.lit("")))
+
+
+def tooltip(html: Column, most: int = 200) -> Column:
+    """Notes without tags, cut at ``most`` characters."""
+    plain = F.trim(replaced(html, r"<[^>]+>"))
+    return F.when(F.length(plain) > most, F.concat(F.left(plain, F.lit(most)), F.lit("… 详见说明"))).otherwise(plain)
+
+
+def expanded_classes(pattern: str) -> str:
+    """A rule's pattern with \\c written out as the class of Han characters."""
+    return pattern.replace(r"\c", "[一-鿿]")
+
+
+def same_target(stored: Column, current: Column) -> Column:
+    """Whether two targets agree but for white space; one that is not stored agrees with any."""
+    squeezed = lambda t: F.trim(replaced(t, r"\s+", " "))
+    return stored.isNull() | (F.trim(stored) == "") | (squeezed(stored) == squeezed(current))
+
+
+def reference_block(kind: str, title: Column, body: Column, digest_of: Column, mark: str) -> Column:
+    """A block of evidence between machine comments, under a header; kind is dict or grep."""
+    # The words of header and comments.
+    header, tag = {"dict": ("【本地词典】", "localDictEntry"), "grep": ("【文献摘录】", "grepHit")}[kind]
+    begin = F.concat(F.lit(f"<!-- {mark}:{tag} begin sha1="), digest_of, F.lit(" -->"))
+    return F.concat_ws("\n", begin, F.concat(F.lit(header), title), F.lit(""), body, F.lit(f"<!-- {mark}:{tag} end -->"))
+
+
+def literature_text(block: Column, snippet: Column) -> Column:
+    """What a block says below its source headers, or else its snippet."""
+    # How header lines begin.
+    lines = F.split(F.coalesce(block, F.lit("")), "\n")
+    header = lambda x: (F.trim(x) == "") | F.trim(x).rlike("^【(?:文献摘录|本地词典|维基百科)") | F.trim(x).rlike("(?i)^(?:URL|Wikidata):")
+    first = lambda xs: F.array_position(F.transform(xs, lambda x: ~header(x)), F.lit(True)).cast("int")
+    rest = bound(lines, lambda xs: F.when(first(xs) > 0, F.trim(F.array_join(F.slice(xs, first(xs), F.size(xs)), "\n"))).otherwise(F.lit("")))
+    body = F.trim(replaced(rest, "^摘录："))
+    return F.when(body != "", body).otherwise(F.trim(F.coalesce(snippet, F.lit(""))))
+
+
+# Lines of dictionary pages that say nothing.
+_NOISE = (r"(?i)^(?:版权所有|Copyright|All rights reserved)", r"(?i)^(?:返回目录|目录|首页|上一页|下一页)$")
+_LINK = r"(?i)^https?://\S+$"
+#: Dictionaries, and tags of dictionaries, whose pages also hold remains of audio players and of navigation.
+STYLED_IDS, STYLED_TAGS = ("cihai", "cihai-7", "cihai7", "ci_hai"), ("辞海", "cihai")
+
+
+def plain_entry(text: Column) -> Column:
+    """A dictionary entry without page headers, footers and bare links; blank lines squeezed."""
+    noise = lambda x: F.trim(x).rlike(_NOISE[0]) | F.trim(x).rlike(_NOISE[1]) | (F.trim(x).rlike(_LINK) & (F.length(F.trim(x)) < 80))
+    return F.trim(replaced(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~noise(x)), "\n"), r"\n{3,}", "\n\n"))
+
+
+def styled_entry(text: Column) -> Column:
+    out = plain_entry(text)
+    for pattern, by in (
+        (r"(?i)您的浏览器不支持\s*audio\s*标签", ""), (r"(?i)</?audio\b[^>]*>", ""), (r"(?i)\baudio\s*标签", ""), (r"(?m)^(李\s*白[^\n]*)\n\1\n", "$1\n"), (r"(?m)^[【\[]参见[】\]][^\n]*\n+", ""), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"),
+    ):
+        out = replaced(out, pattern, by)
+    return F.trim(out)
+
+
+def cleaned_entry(text: Column, dict_id: Column, tags: Column) -> Column:
+    """An entry cleaned as its dictionary's id, else its tags, ask for."""
+    tagged = F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(t).contains(STYLED_TAGS[0]) | F.lower(t).contains(STYLED_TAGS[1]))
+    return F.when(F.lower(F.coalesce(dict_id, F.lit(""))).isin(*STYLED_IDS) | tagged, styled_entry(text)).otherwise(plain_entry(text))

@@ -87,3 +87,53 @@ def outline_difference(pairs: DataFrame, *, key: str = "doc_id") -> DataFrame:
     titles = lambda c: F.transform(F.filter(F.split(c, "\n"), lambda l: l.rlike(r"^#{1,6}\s+\S")), lambda l: F.trim(F.regexp_replace(l, r"\s+", " ")))
     places = F.transform(F.arrays_zip(titles("x").alias("a"), titles("y").alias("b")), lambda z, i: F.when(z.a.eqNullSafe(z.b), None).otherwise(i))
     return pairs.select(key, F.coalesce(F.array_min(places), F.lit(-1)).alias("first_difference"))
+
+
+def literal_words(df: DataFrame, rules: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, variant, preferred, n, comment) of rules (find, replace, comment) that name whole words."""
+    found = word_check(df, rules.select(F.col("find").alias("variant"), F.col("replace").alias("preferred")), key=key, text=text)
+    return found.join(small(rules.groupBy(F.col("find").alias("variant")).agg(F.max("comment").alias("comment"))), "variant", "left")
+
+
+def literal_characters(df: DataFrame, rules: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, variant, preferred, n, first_pos, comment) of rules (find, replace, comment) that are single characters."""
+    found = character_check(df, rules.select(F.col("find").alias("variant"), F.col("replace").alias("preferred")), key=key, text=text)
+    return found.join(small(rules.groupBy(F.col("find").alias("variant")).agg(F.max("comment").alias("comment"))), "variant", "left")
+
+
+def earliest(entries: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(variant, preferred, key, first_pos): where an entry stands first, by document, then place."""
+    at = F.struct(key, "first_pos")
+    return entries.groupBy("variant", "preferred").agg(F.min(at).alias("at")).select("variant", "preferred", f"at.{key}", "at.first_pos")
+
+
+def with_notes(entries: DataFrame, notes: DataFrame) -> DataFrame:
+    """Entries (variant, preferred) with the note of their preferred form, or else of their variant; notes: (form, note)."""
+    one = small(notes.groupBy("form").agg(F.min("note").alias("note")))
+    by = lambda c, name: one.select(F.col("form").alias(c), F.col("note").alias(name))
+    return entries.join(by("preferred", "_p"), "preferred", "left").join(by("variant", "_v"), "variant", "left").withColumn("note", F.coalesce("_p", "_v")).drop("_p", "_v")
+
+
+def heading_diagnosis(left: DataFrame, right: DataFrame, ahead: int = 8, *, key: str = "doc_id") -> DataFrame:
+    """(key, at, reason, side, direction) for the first difference of two heading lists (key, line_no, level, title): where to look for the fault.
+
+    Each item at the difference is sought among the next of the other side, fewer than ``ahead`` places on, by equi-joins on level and title.
+    """
+    numbered = lambda df: df.select(key, F.row_number().over(Window.partitionBy(key).orderBy("line_no")).alias("pos"), "level", "title")
+    a, b = numbered(left), numbered(right)
+    first = first_heading_difference(left, right, key=key)
+
+    def found(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        here = first.join(own, key).filter(F.col("pos") == F.col("at")).select(key, "at", "level", "title")
+        met = here.join(other.withColumnRenamed("pos", "there"), [key, "level", "title"])
+        near = met.filter((F.col("there") == F.col("at") + 1) | ((F.col("there") >= F.col("at") + 2) & (F.col("there") < F.col("at") + ahead)))
+        return near.groupBy(key).agg((F.min("there") - F.first("at")).alias(name))
+
+    rows = first.join(found(a, b, "in_right"), key, "left").join(found(b, a, "in_left"), key, "left")
+    both = ~F.col("reason").isin("extra", "missing")
+    side = (
+        F.when(F.col("reason") == "extra", "left").when(F.col("reason") == "missing", "right")
+        .when(F.col("in_right") == 1, "right").when(F.col("in_left") == 1, "left").when(F.col("in_right") > 1, "right").when(F.col("in_left") > 1, "left").otherwise("both")
+    )
+    up = both & ((F.col("in_right") > 1) | (F.col("in_left") > 1)) & ~(F.coalesce(F.col("in_right") == 1, F.lit(False)) | F.coalesce(F.col("in_left") == 1, F.lit(False)))
+    return rows.select(key, "at", "reason", side.alias("side"), F.when(~both, "down").when(F.coalesce(up, F.lit(False)), "up").otherwise("here").alias("direction"))

@@ -168,3 +168,14 @@ def pattern_check(df: DataFrame, rules: list[tuple[str, str]], *, key: str = "do
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"k {kind}, rule int, start int, end int, found string, preferred string")
     return rows.withColumnRenamed("k", key)
+
+
+def items_applied(df: DataFrame, *, key: str = "doc_id", text: str = "text", items: str = "items") -> DataFrame:
+    """(key, text, applied): items (array of struct old, new) applied one after the other, each to its first place."""
+
+    @F.pandas_udf("struct<text: string, applied: int>")
+    def done(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        out = [(None, 0) if t is None else replaced_once(t, [(x["old"], x["new"]) for x in (xs if xs is not None else [])]) for t, xs in zip(texts, lists)]
+        return pd.DataFrame(out, columns=["text", "applied"])
+
+    return df.select(key, done(F.col(text), F.col(items)).alias("d")).select(key, "d.text", "d.applied")

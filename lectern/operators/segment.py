@@ -212,3 +212,26 @@ def first_segment(df: DataFrame, mode: str, start, *, levels: tuple[int, ...] =
     """(key, target): the first segment by length or title of the text from offset ``start`` on."""
     rest = df.select(key, F.substring(F.col(text), start + 1, F.length(text)).alias("text"))
     return split(rest, mode, levels=levels, cut_by=cut_by, key=key).filter("idx = 0").select(key, "target")
+
+
+def structured_sentences(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, idx, sentence): headings and list items are whole sentences with the blank lines after them, untrimmed; the rest is split as by sentences().
+
+    Only the places where such a line, or the text after one, begins are carried along.
+    """
+    special = lambda x: F.ltrim(x).rlike(r"^(?:#[ #]|[-*+] |[0-9]+[.)]\s+)")
+
+    def step(a: Column, x: Column) -> Column:
+        own, blank = special(x), _blank(x)
+        new = (own | (a.special & ~blank)) & (a["at"] > 1)
+        return F.struct(F.when(new, F.concat(a.starts, F.array(a["at"]))).otherwise(a.starts).alias("starts"), (own | (a.special & blank)).alias("special"), (a["at"] + 1).alias("at"))
+
+    begin = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(False).alias("special"), F.lit(1).alias("at"))
+    split_text = lambda t: F.filter(F.transform(F.split(marked_sentences(t), CUT), trimmed), lambda s: s != "")
+
+    def islands(xs: Column) -> Column:
+        parts = bound(F.aggregate(xs, begin, step, lambda a: a.starts), lambda b: _at(xs, b))
+        each = lambda ps: F.flatten(F.transform(ps, lambda p, i: F.when(special(p), F.array(F.when(i + 1 < F.size(ps), F.concat(p, F.lit("\n"))).otherwise(p))).otherwise(split_text(p))))
+        return bound(parts, each)
+
+    return _pieces(df, key, bound(F.split(line_endings(F.col(text)), "\n"), islands), "sentence")

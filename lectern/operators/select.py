@@ -244,3 +244,69 @@ def entry_scores(entries: DataFrame, priority: str = "priority") -> DataFrame:
 def remembered(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answers of the cache (key, value), queries it lacks): asked (key, ...) against entries that still hold."""
     return asked.join(cache, "key"), asked.join(cache.select("key"), "key", "left_anti")
+
+
+def citation_rows(citations: DataFrame, least: int = 5, ignored: tuple[str, ...] = ("short",), *, key: str = "doc_id") -> DataFrame:
+    """Citations (key, start_line, end_line, text, footnote) without ignored kinds, one for each place and first 20 characters."""
+    if "short" in ignored:
+        citations = citations.filter(F.length(F.trim("text")) >= least)
+    if "noFootnote" in ignored:
+        citations = citations.filter(F.coalesce("footnote", F.lit("")) != "")
+    same = Window.partitionBy(key, "start_line", "end_line", F.left("text", F.lit(20))).orderBy("text")
+    return citations.withColumn("_k", F.row_number().over(same)).filter("_k = 1").drop("_k")
+
+
+def like_prefix(rows: DataFrame, prefix: str, *, path: str = "file") -> DataFrame:
+    """Rows whose path is LIKE the prefix: _ and % in it are wildcards, and no folder border is asked for."""
+    return rows.filter(F.col(path).like(prefix + "%"))
+
+
+def without_disambiguation(pages: DataFrame, *, flag: str = "disambiguation") -> DataFrame:
+    return pages.filter(~F.coalesce(F.col(flag), F.lit(False)))
+
+
+def first_sentences(sentences: DataFrame, most: int = 50_000, *, key: str = "doc_id") -> DataFrame:
+    """The first sentences in order of file and place: the most that an index holds."""
+    return sentences.orderBy(key, "idx").limit(most)
+
+
+def asked_patterns(rounds: DataFrame) -> DataFrame:
+    """(session, pattern): the distinct patterns of all queries (session, queries array<struct<patterns>>)."""
+    each = rounds.select("session", F.explode("queries").alias("q")).select("session", F.explode("q.patterns").alias("pattern"))
+    return each.filter(F.trim("pattern") != "").distinct()
+
+
+def session_summary(hits: DataFrame, rounds: DataFrame) -> DataFrame:
+    """(session, active_hits, rounds, updated_at) from hits (session, status) and rounds (session, finished_at, started_at)."""
+    active = hits.groupBy("session").agg(F.count_if(F.col("status") == "active").alias("active_hits"))
+    ran = rounds.groupBy("session").agg(F.count("*").alias("rounds"), F.max(F.coalesce("finished_at", "started_at")).alias("updated_at"))
+    return ran.join(active, "session", "left").select("session", F.coalesce("active_hits", F.lit(0)).cast("long").alias("active_hits"), "rounds", "updated_at")
+
+
+def revived(cached: DataFrame, query_id: str, round_id: str) -> DataFrame:
+    """Cached hits as hits of the query and round that asks again, active."""
+    return cached.withColumns({"query_id": F.lit(query_id), "round_id": F.lit(round_id), "status": F.lit("active")})
+
+
+def scope_needs_choice(files: DataFrame, dictionaries: int, most_dictionaries: int = 8, most_files: int = 100, deepest: int = 4) -> DataFrame:
+    """One row (files, depth, needs_choice): whether files (file) and dictionaries are too many, or folders too deep, to search them all."""
+    depth = F.coalesce(F.max(F.size(F.split(F.regexp_extract("file", "^(.*)/", 1), "/"))), F.lit(0))
+    found = files.agg(F.count("*").alias("files"), depth.alias("depth"))
+    return found.withColumn("needs_choice", (F.col("files") > most_files) | (F.col("depth") > deepest) | F.lit(dictionaries > most_dictionaries))
+
+
+# Limits by strength of a search: rounds, queries a round, lookups, hits selected a query, their characters, least score, quotas.
+STRENGTHS = {
+    "light": {"rounds": 1, "queries": 4, "lookups": 40, "candidates": 8, "selected": 3, "selected_chars": 4000, "least_score": 0.35, "primary": 4, "relevance": 2, "length": 2},
+    "standard": {"rounds": 3, "queries": 6, "lookups": 100, "candidates": 14, "selected": 5, "selected_chars": 8000, "least_score": 0.3, "primary": 6, "relevance": 3, "length": 2},
+    "thorough": {"rounds": 5, "queries": 10, "lookups": 200, "candidates": 20, "selected": 8, "selected_chars": 12000, "least_score": 0.25, "primary": 8, "relevance": 4, "length": 3},
+}
+
+
+def strength(name: str, **limits) -> dict:
+    """The limits of a strength, standard where it is unknown, with those given in their place, never below 0."""
+    chosen = dict(STRENGTHS.get(name, STRENGTHS["standard"]))
+    unknown = set(limits) - set(chosen)
+    if unknown:
+        raise ValueError(f"unknown limits {sorted(unknown)}")
+    return chosen | {k: max(0, v) for k, v in limits.items() if v is not None}

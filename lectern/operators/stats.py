@@ -47,3 +47,35 @@ def calls_in_window(events: DataFrame, seconds: int = 60, *, key: str = "user_id
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     recent = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.count("*").over(recent))
+
+
+def alignment_counts(alignment: DataFrame, *, kind: str = "type", by: tuple[str, ...] = ()) -> DataFrame:
+    """(total, match, delete, insert, movein, moveout) of aligned rows."""
+    return alignment.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(F.col(kind) == k).alias(k) for k in ("match", "delete", "insert", "movein", "moveout")))
+
+
+def distinct_replacements(changes: DataFrame) -> DataFrame:
+    """(wrong, correct, clause): each clause of each replacement once."""
+    return changes.select("wrong", "correct", "clause").distinct()
+
+
+def folder_counts(files: DataFrame, *, path: str = "file") -> DataFrame:
+    """(dir, n): files directly in each folder; '' is the top."""
+    return files.groupBy(F.regexp_extract(path, "^(.*)/", 1).alias("dir")).agg(F.count("*").alias("n"))
+
+
+def total_places(entries: DataFrame) -> DataFrame:
+    """One row (places): the places of all check entries (n)."""
+    return entries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("places"))
+
+
+def cache_counts(asked: DataFrame, cache: DataFrame, *, key: str = "key", by: str = "source") -> DataFrame:
+    """(source, hits, misses) of lookups against the keys of a cache."""
+    known = cache.select(key).distinct().withColumn("_known", F.lit(True))
+    met = asked.join(known, key, "left")
+    return met.groupBy(by).agg(F.count("_known").alias("hits"), F.count_if(F.col("_known").isNull()).alias("misses"))
+
+
+def scaled_totals(totals: DataFrame, factor: float) -> DataFrame:
+    """(field, chars, tokens) times a factor, rounded up."""
+    return totals.select("field", *(F.ceil(F.col(c) * factor).cast("long").alias(c) for c in ("chars", "tokens")))
