@@ -32,9 +32,9 @@ def test_every_counted_word_is_learnt(spark, small):
     learner.take(given, cls, n)
     bits = sum(8 * (len(w) + 1) * k for w, k in zip(given, n))
     assert learner.bits.sum() == pytest.approx(bits) and learner.shown[1].sum() == pytest.approx(bits)
-    assert learner.seen.sum() == pytest.approx(5 * bits)
+    assert learner.counts.sum() == pytest.approx(5 * bits)
     whole = lm_scoring.learn(vocabulary, names)
-    alone = lm_scoring.frozen(learner.rows())
+    alone = lm_scoring.frozen(learner.sums())
     assert np.allclose(whole.logits, alone.logits, atol=1e-4) and np.array_equal(whole.prefix_levels, alone.prefix_levels)
 
 
@@ -46,7 +46,7 @@ def test_learnt_weights_lower_the_cost_of_words_not_seen(spark, small):
     learner = lm_scoring.Learner()
     start = learner.weights.copy()
     learner.take([given[i] for i in half], cls[half], n[half])
-    model = lm_scoring.frozen(learner.rows())
+    model = lm_scoring.frozen(learner.sums())
     new = [given[i] for i in rest]
     learnt = (n[rest] * model.costs(new, cls[rest])).sum()
     model.weights = start.astype(np.float32)
