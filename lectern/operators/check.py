@@ -14,10 +14,7 @@ def characters(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def character_check(df: DataFrame, dictionary: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, variant, preferred, n, first_pos) for single-character variants (variant, preferred).
-
-    Texts without any variant are dropped first by one regular expression built from the dictionary.
-    """
+    """(key, variant, preferred, n, first_pos) for single-character variants (variant, preferred)."""
     found = characters(df, key=key, text=text).join(small(dictionary), F.col("ch") == F.col("variant"))
     return found.groupBy(key, "variant", "preferred").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
