@@ -103,18 +103,18 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
              coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
              length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters,
              length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_capitals
-      FROM w LEFT JOIN c ON c.doc_id = w.doc_id)
+      FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
 ledger AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
        + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::BIGINT
        + 32 * (n_letters >= 50 AND 10 * n_capitals > 6 * n_letters)::BIGINT + 64 * (2 * n_letters < word_chars)::BIGINT AS failed_bits FROM m)
 """
 LEDGER_SQL = f"""{QUALITY_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM ledger"""
 ABLATION_SQL = f"""{QUALITY_SQL},
-p AS (SELECT * FROM (VALUES ('base', 3), ('v1', 15), ('v2', 127)) v(version, mask)),
-r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('capitals', 32), ('few_letters', 64)) v(rule, bit))
+policies AS (SELECT * FROM (VALUES ('base', 3), ('v1', 15), ('v2', 127)) v(version, mask)),
+rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('capitals', 32), ('few_letters', 64)) v(rule, bit))
 SELECT version, rule, count(*) AS n_docs, sum((failed_bits & mask = 0)::INT)::BIGINT AS n_kept, sum((failed_bits & bit <> 0)::INT)::BIGINT AS n_failed,
        sum((failed_bits & mask = bit)::INT)::BIGINT AS n_only, bit_or(failed_bits & mask) AS union_bits
-FROM ledger, p, r WHERE mask & bit <> 0 GROUP BY version, rule"""
+FROM ledger, policies, rules WHERE mask & bit <> 0 GROUP BY version, rule"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
