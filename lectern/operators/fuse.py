@@ -97,7 +97,7 @@ def evicted(entries: DataFrame, cap: int) -> DataFrame:
 def scored_and_sorted(hits: DataFrame) -> DataFrame:
     """(query_id, hit_id, final_score, rank): hits with patterns counted by unit and by file, scored and ranked in their query."""
     counted = hits.withColumn("n_patterns", F.sum(F.coalesce(F.size("patterns"), F.lit(1))).over(Window.partitionBy("unit_key"))).withColumn("n_in_file", F.count("*").over(Window.partitionBy("file")))
-    scored = final_score(counted).withColumn("final_score", F.round("final_score", 6))
+    scored = final_score(counted).withColumn("final_score", F.round("final_score", 9))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "hit_id"))
     return scored.select("query_id", "hit_id", "final_score", rank.alias("rank"))
 

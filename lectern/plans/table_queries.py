@@ -18,7 +18,7 @@ _HIT = (
     "o_orderkey AS ordinal",
     "o_custkey AS query_id",
     "CASE o_orderkey % 4 WHEN 0 THEN 'dict' WHEN 1 THEN 'grep_md' WHEN 2 THEN 'bm25' ELSE 'web' END AS source",
-    "round(o_totalprice / 600000, 6) AS score",
+    "o_totalprice / 600000 AS score",
     "o_orderkey % 97 * 20 AS chars",
     "CASE WHEN o_orderstatus = 'P' THEN 'pruned' ELSE 'active' END AS status",
     "CASE WHEN o_orderkey % 11 = 0 THEN 'navigation_hint' ELSE 'evidence' END AS kind",
@@ -59,8 +59,8 @@ _ENTRY = ("event_id AS id", "CAST(floor(value) AS INT) % 10 AS weight", "ts AS c
 register("w14_evicted", f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY weight DESC, created_at DESC, id DESC) AS k FROM (SELECT {', '.join(_ENTRY)} FROM events)) WHERE k > 200")(
     lambda s, d: fuse.evicted(table(s, d, "events").selectExpr(*_ENTRY), 200).select("id")
 )
-register("u03_new_hits", f"WITH {HITS} SELECT digest, min(ordinal) AS ordinal FROM hits WHERE status = 'pruned' AND digest NOT IN (SELECT digest FROM hits WHERE status = 'active' AND ordinal % 3 = 0) GROUP BY digest")(
-    lambda s, d: fuse.new_hits(hits(s, d).filter("status = 'pruned'"), hits(s, d).filter("status = 'active' AND ordinal % 3 = 0")).select("digest", "ordinal")
+register("u03_new_hits", f"WITH {HITS} SELECT digest, min(ordinal) AS ordinal FROM hits WHERE status = 'pruned' AND digest NOT IN (SELECT digest FROM hits WHERE status = 'active' AND ordinal % 97 = 0) GROUP BY digest")(
+    lambda s, d: fuse.new_hits(hits(s, d).filter("status = 'pruned'"), hits(s, d).filter("status = 'active' AND ordinal % 97 = 0")).select("digest", "ordinal")
 )
 register("u04_fused", f"""WITH {HITS} SELECT unit_key, min(ordinal) AS ordinal, arg_min(source, ordinal) AS source, max(score) AS score,
 array_to_string(list_sort(list_distinct(list(digest))), ',') AS patterns FROM hits GROUP BY unit_key""")(
@@ -69,11 +69,11 @@ array_to_string(list_sort(list_distinct(list(digest))), ',') AS patterns FROM hi
 _PARTS_OF = "score AS llm, score AS channel, hit_id % 6 AS n_patterns, (hit_id % 8) / 8.0 AS scope, hit_id % 9 + 1 AS n_in_file, kind, block AS snippet"
 _FINAL = """greatest(0, least(1, 0.35 * llm + 0.25 * channel + 0.15 * least(1, n_patterns / 4) + 0.15 * scope + 0.1 * least(0.3, (n_in_file - 1) * 0.05)
  - CASE WHEN kind = 'navigation_hint' THEN 0.4 ELSE 0 END - CASE WHEN length(trim(snippet)) < 20 THEN 0.15 ELSE 0 END))"""
-register("r08_final_score", f"WITH {HITS}, p AS (SELECT hit_id, {_PARTS_OF} FROM hits) SELECT hit_id, round({_FINAL}::DOUBLE, 6) AS final_score FROM p")(
-    lambda s, d: fuse.final_score(hits(s, d).selectExpr("hit_id", *(x.strip() for x in _PARTS_OF.replace("/ 8.0", "/ 8.0D").split(",")))).select("hit_id", F.round("final_score", 6).alias("final_score"))
+register("r08_final_score", f"WITH {HITS}, p AS (SELECT hit_id, {_PARTS_OF} FROM hits) SELECT hit_id, round({_FINAL}::DOUBLE, 9) AS final_score FROM p")(
+    lambda s, d: fuse.final_score(hits(s, d).selectExpr("hit_id", *(x.strip() for x in _PARTS_OF.replace("/ 8.0", "/ 8.0D").split(",")))).select("hit_id", F.round("final_score", 9).alias("final_score"))
 )
 register("r10_scored_hits", f"""WITH {HITS}, c AS (SELECT *, count(*) OVER (PARTITION BY unit_key) AS n_patterns, count(*) OVER (PARTITION BY file) AS n_in_file FROM hits),
-p AS (SELECT query_id, hit_id, score AS llm, score AS channel, 0 AS scope, n_patterns, n_in_file, kind, block AS snippet FROM c), f AS (SELECT query_id, hit_id, round({_FINAL}::DOUBLE, 6) AS final_score FROM p)
+p AS (SELECT query_id, hit_id, score AS llm, score AS channel, 0 AS scope, n_patterns, n_in_file, kind, block AS snippet FROM c), f AS (SELECT query_id, hit_id, round({_FINAL}::DOUBLE, 9) AS final_score FROM p)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, hit_id) AS rank FROM f""")(
     lambda s, d: fuse.scored_and_sorted(hits(s, d).selectExpr("query_id", "hit_id", "unit_key", "file", "array(digest) AS patterns", "score AS llm", "score AS channel", "0 AS scope", "kind", "block AS snippet"))
 )
