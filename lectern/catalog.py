@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import align, check, duplicates, fuse, retrieve, rewrite, segment, stats
 from .sources import files
-from .plans import batch_queries, document_queries, hit_queries, more_queries, structure_queries, table_queries  # noqa: F401
+from .plans import batch_queries, document_queries, hit_queries, more_queries, place_queries, structure_queries, table_queries  # noqa: F401
 from .plans.registry import ORACLE, QUERIES, Query, documents as _docs, register as _register, sql_rows as _sql_values, values as _values
 from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, sql_trim, table
 

@@ -61,8 +61,11 @@ def _filled(items: Column, limit: int) -> Column:
 
 def by_length(df: DataFrame, cut_by: int = 600, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Chunks that close at the first blank line once their lines hold cut_by characters (50 at least)."""
-    limit = max(50, cut_by)
-    return _pieces(df, key, _filled(F.split(line_endings(F.col(text)), "\n"), limit), "target")
+    return _pieces(df, key, chunks_of(line_endings(F.col(text)), cut_by), "target")
+
+
+def chunks_of(text: Column, cut_by: int) -> Column:
+    return _filled(F.split(text, "\n"), max(50, cut_by))
 
 
 def by_title(df: DataFrame, levels: tuple[int, ...] = (2,), *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,8 +140,8 @@ def clauses(df: DataFrame, ends: str = CLAUSE_ENDS, *, key: str = "doc_id", text
     return _pieces(df, key, F.filter(F.transform(found, trimmed), lambda s: s != ""), "clause")
 
 
-def paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start_line, end_line, paragraph): runs of lines that are not blank, numbered from 1."""
+def paragraph_runs(text: Column) -> Column:
+    """Array of (start_line, end_line, paragraph)."""
 
     def runs(xs: Column) -> Column:
         blank = lambda i: (i < 1) | (i > F.size(xs)) | _blank(F.get(xs, i - 1))
@@ -148,7 +151,12 @@ def paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
         each = lambda z: F.struct(z.a.alias("start_line"), z.b.alias("end_line"), F.array_join(F.slice(xs, z.a, z.b - z.a + 1), "\n").alias("paragraph"))
         return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), each)
 
-    return df.select(key, F.inline(bound(F.split(line_endings(F.col(text)), "\n"), runs)))
+    return bound(F.split(line_endings(text), "\n"), runs)
+
+
+def paragraphs(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start_line, end_line, paragraph): runs of lines that are not blank, numbered from 1."""
+    return df.select(key, F.inline(paragraph_runs(F.col(text))))
 
 
 def headings(df: DataFrame, levels: tuple[int, ...] = (1, 2, 3, 4, 5, 6), *, key: str = "doc_id", text: str = "text") -> DataFrame:
