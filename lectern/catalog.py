@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, check, duplicates, fuse, retrieve, rewrite, segment, stats
-from .sources import files
-from .plans import batch_queries, document_queries, hit_queries, more_queries, place_queries, structure_queries, table_queries  # noqa: F401
+from .operators import align, check, duplicates, retrieve, rewrite, segment, stats
+from .plans import batch_queries, derived_queries, document_queries, hit_queries, more_queries, place_queries, structure_queries, table_queries  # noqa: F401
 from .plans.registry import ORACLE, QUERIES, Query, documents as _docs, register as _register, sql_rows as _sql_values, values as _values
 from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, sql_trim, table
 
@@ -77,11 +76,6 @@ SELECT doc_id, idx, coalesce(sum(length(x) + 5) OVER (PARTITION BY doc_id ORDER
     lambda s, d: _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "x")).selectExpr(
         "doc_id", "idx", "CAST(coalesce(sum(length(x) + 5) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS long) AS start_offset")
 )
-_TOC = [("- One\n    - Two\n        * Three\n    - Two b\n- Four\nplain",)]
-_register("g23_toc", "SELECT * FROM (VALUES (1, 1, 1, 'One'), (1, 2, 2, 'Two'), (1, 3, 3, 'Three'), (1, 4, 2, 'Two b'), (1, 5, 1, 'Four')) v(doc_id, line_no, level, title)")(
-    lambda s, d: segment.toc_entries(s.createDataFrame([(1, *_TOC[0])], "doc_id int, text string"))
-)
-
 # scalar functions
 
 _register("f03_normalize", f"""SELECT doc_id, regexp_replace(regexp_replace({sql_trim('text')}, '{WS}', '', 'g'), '\\p{{P}}', '', 'g') AS norm FROM documents""")(
@@ -91,7 +85,6 @@ _register("f06_ngrams", """SELECT doc_id, list_sort(list_distinct(CASE WHEN leng
 FROM (SELECT doc_id, text AS t FROM documents)""")(
     lambda s, d: _docs(s, d).select("doc_id", F.array_sort(T.ngrams(F.col("text"), 3)).alias("grams"))
 )
-_WORDPAIRS = [(1, "abcd", "abce"), (2, "", "x"), (3, "same", "same"), (4, "ab", "abab"), (5, "天地玄黄", "天地黄玄")]
 _register("f09_token_estimate", rf"""WITH c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '[\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) AS wide,
  length(text) - length(regexp_replace(text, '{WS}', '', 'g')) AS sp FROM documents)
 SELECT doc_id, ceil(round(wide * 1.5 + sp * 0.15 + (n - wide - sp) * 0.25, 6))::BIGINT AS tokens FROM c""")(
@@ -112,10 +105,6 @@ _register("f32_digest", "SELECT doc_id, substring(sha1(text), 1, 12) AS digest,
 _register("f12_han_spaces", "SELECT * FROM (VALUES (1, '中文'), (2, '中  文'), (3, 'word test'), (4, '中a')) v(id, t)")(
     lambda s, d: _values([(1, "中 文"), (2, "中  文"), (3, "word test"), (4, "中 a")], "id int, x string")(s, d).select("id", T.squeeze_han_spaces(F.col("x")).alias("t"))
 )
-_register("f21_numbers", "SELECT * FROM (VALUES (1, 21, 1994, 28, 3, 10002), (2, 10, 4, 1, 20, 1)) v(id, han, roman, letter, circled, multi)")(
-    lambda s, d: _values([(1, "二十一", "MCMXCIV", "AB", "③", "1.2"), (2, "十", "IV", "a", "⑳", "1")], "id int, h string, r string, l string, c string, m string")(s, d).select(
-        "id", T.han_number(F.col("h")).alias("han"), T.roman_number(F.col("r")).alias("roman"), T.letter_number(F.col("l")).alias("letter"), T.circled_number(F.col("c")).cast("int").alias("circled"), T.multi_level(F.col("m")).alias("multi"))
-)
 
 # statistics
 
@@ -174,7 +163,6 @@ _register("r05_grep", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr
 SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l WHERE regexp_matches(line, '(?i)th[aeiou]n\\b')) WHERE k <= 80""".replace("\\\\", "\\"))(
     lambda s, d: retrieve.grep(_docs(s, d), r"th[aeiou]n\b")
 )
-_HITS = [("a", 5, "l5", 0.3), ("a", 5, "l5", 0.9), ("a", 8, "l8", 0.5), ("a", 20, "l20", 0.5), ("b", 21, "m", 0.95), ("b", 40, "n", 0.1)]
 
 # checks
 
@@ -192,8 +180,6 @@ _register("j11_last_character", f"""SELECT doc_id, variant, preferred, count(*)
 _register("j13_outside_characters", f"""SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE regexp_matches(ch, '\\p{{L}}') AND ch NOT IN (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyzéèü', ''))) GROUP BY ALL""")(
     lambda s, d: check.outside_characters(_docs(s, d), s.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyzéèü"], "ch string"), r"\p{L}")
 )
-_ENTRIES = [(1, "single", "v1", "p1", 2), (2, "custom", "v1", "p1", 3), (2, "custom", "v2", "p2", 1)]
-_NODES = [(1, 0, "arabic", 1, i, v) for i, v in enumerate((1, 2, 2, 5, 3))] + [(1, 7, "arabic", 2, 9, 1), (1, 8, "han", 2, 11, 2), (1, 8, "han", 2, 12, 3)]
 _register("j22_heading_difference", f"""WITH {_HEADS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM heads)
 SELECT doc_id, min(k) AS "at", 'missing' AS reason FROM n WHERE k > 2 GROUP BY doc_id""")(
     lambda s, d: (lambda h: check.first_heading_difference(h, h.withColumn("k", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY line_no)")).filter("k <= 2").drop("k")))(segment.headings(md_docs(s, d)))
@@ -201,12 +187,6 @@ SELECT doc_id, min(k) AS "at", 'missing' AS reason FROM n WHERE k > 2 GROUP BY d
 
 # fusion
 
-_FUSE = [(1, "u1", "bm25", 0.5, ["a"]), (2, "u1", "grep", 0.8, ["b", "a"]), (3, "u2", "grep", 0.1, ["c"])]
-_SCORED = [(1, 0.9, 0.5, 2, 0.4, 3, "text", "a snippet that is long enough"), (2, 0.1, 0.0, 1, 0.0, 1, "navigation_hint", "short")]
-_CAP = [(i, "f" if i < 7 else "", i / 10) for i in range(10)]
-_SOFT = [(1, 1, 0.9, 50), (1, 2, 0.8, 60), (1, 3, 0.7, 40), (1, 4, 0.1, 1), (2, 5, 0.6, 500)]
-_QUOTA = [("p", "d1", 3, 0.1), ("p", "d2", 9, 0.1), ("q", "d3", 4, 0.9), ("q", "d4", 8, 0.2)]
-_MEMORY = [(1, 1, 10), (2, 9, 5), (3, 1, 7)]
 
 
 # alignment, citations and rewriting
@@ -237,17 +217,11 @@ def _aligned(s: SparkSession, d: str) -> DataFrame:
     return align.align(left, right)
 
 
-_UNITS = [(0, "# H", "c0"), (1, "one", "c1"), (2, "two", "c2")]
 _RULES = {"the": "THE", "they": "THEY", "de la": "DE-LA"}
 _register("e02_apply_rules", "SELECT doc_id, replace(replace(replace(replace(replace(text, 'they', chr(2)), 'de la', chr(3)), 'the', 'THE'), chr(2), 'THEY'), chr(3), 'DE-LA') AS text FROM documents")(
     lambda s, d: rewrite.apply_rules(_docs(s, d), _RULES)
 )
 _register("j14_literal_check")(lambda s, d: rewrite.literal_check(_docs(s, d), _RULES))
-_register("g20_quotes", "SELECT * FROM (VALUES (1, 1, 8, '“a「b」c”'), (1, 9, 12, '《t》')) v(doc_id, start, \"end\", quote)")(
-    lambda s, d: rewrite.quotes(s.createDataFrame([(1, "x“a「b」c”y《t》”")], "doc_id int, text string"))
-)
-_register("f11_curled_quotes", "SELECT * FROM (VALUES (1, '“a” and “b”')) v(id, t)")(lambda s, d: s.createDataFrame([(1, ' "a" and "b" ')], "id int, x string").select("id", rewrite.curl(F.col("x")).alias("t")))
-_OLD, _NEW = [("a", 1, 10), ("b", 1, 10), ("c", 1, 10)], [("b", 1, 10), ("c", 2, 10), ("d", 1, 1)]
 
 
 def queries() -> dict[str, Query]:

@@ -243,3 +243,38 @@ def structured_sentences(df: DataFrame, *, key: str = "doc_id", text: str = "tex
         return bound(parts, each)
 
     return _pieces(df, key, bound(F.split(line_endings(F.col(text)), "\n"), islands), "sentence")
+
+
+# Runs of letters and digits; any other visible character is a word of its own.
+WORD = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+
+
+def words(df: DataFrame, segmenter=None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, idx, word, tag, start, end): words by place, from 0.
+
+    segmenter is a function from a text to its (word, tag) pairs in order, which together with white space make the text again, and runs in Arrow batches;
+    without one, words are those of WORD, tagged m for digits, x for other signs and n for the rest.
+    """
+    if segmenter is None:
+        marked = F.regexp_replace(F.translate(F.col(text), CUT, " "), WORD, f"{CUT}$0")
+        at = F.filter(F.transform(F.split(marked, ""), lambda c, i: F.when(c == CUT, i)), lambda i: i.isNotNull())
+        found = F.arrays_zip(F.regexp_extract_all(F.translate(F.col(text), CUT, " "), F.lit(WORD), F.lit(0)).alias("word"), F.transform(at, lambda i, k: i - k).alias("start"))
+        rows = df.select(key, F.posexplode(found).alias("idx", "_w")).select(key, "idx", "_w.word", "_w.start")
+        tag = F.when(F.col("word").rlike(r"^\p{N}+$"), "m").when(F.col("word").rlike(r"^[^\p{L}\p{N}]$"), "x").otherwise("n")
+        return rows.select(key, "idx", "word", tag.alias("tag"), "start", (F.col("start") + F.length("word")).alias("end"))
+
+    @F.pandas_udf("array<struct<word: string, tag: string, start: int, end: int>>")
+    def cut(texts):
+        import pandas as pd
+
+        out = []
+        for t in texts:
+            rows, at = [], 0
+            for word, tag in segmenter(t or ""):
+                at = t.index(word, at)
+                rows.append({"word": word, "tag": tag, "start": at, "end": at + len(word)})
+                at += len(word)
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    return df.select(key, F.posexplode(cut(text)).alias("idx", "_w")).select(key, "idx", "_w.*")

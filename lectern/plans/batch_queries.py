@@ -31,7 +31,6 @@ register("s04_top_folders", "SELECT source AS dir, count(*) AS n FROM documents
 register("s16_preset_dictionary", "SELECT * FROM (VALUES ('a', 'AÄ'), ('b', 'B'), ('c', 'Ç')) v(simplified, others)")(
     lambda s, d: select.preset_dictionary(values([("a", "A"), ("b", "B")], "simplified string, forms string")(s, d), values([("a", "Ä"), ("c", "Ç")], "simplified string, forms string")(s, d))
 )
-_HITS = [(1, "T", 1, 0.2, "active", "text", "low"), (1, "T", 2, 0.9, "active", "text", "high"), (1, "T", 3, 0.9, "pruned", "text", "gone"), (2, "U", 4, 0.5, "active", "navigation_hint", "x")]
 register("f42_fingerprint", """SELECT doc_id, left(sha1('{"a":' || doc_id || ',"lang":"' || lang || '"}'), 24) AS key FROM documents WHERE lang IS NOT NULL""")(
     lambda s, d: table(s, d, "documents").filter("lang IS NOT NULL").select("doc_id", E.fingerprint(lang=F.col("lang"), a=F.col("doc_id")).alias("key"))
 )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import memory, notes, private_use
-from ..operators import context, numbering, parse
-from .registry import documents, register
+from ..functions import claims, memory, notes, private_use
+from ..operators import context, numbering, parse, persons, segment
+from .registry import documents, register, sql_rows
 from .table_queries import HITS, hits
 from .views import md_docs, sql_trim, table
 
@@ -168,3 +168,39 @@ register("h23_joined_reference", f"WITH {HITS} SELECT query_id, string_agg(block
 register("s10_word_errors", "SELECT DISTINCT l_returnflag || 'x' AS 错误词语, l_linestatus AS 正确词语, (l_suppkey % 40)::VARCHAR AS 错误词语所在小句, 2 AS 错词长度, 1 AS 正词长度 FROM lineitem")(
     lambda s, d: parse.word_errors(table(s, d, "lineitem").selectExpr("concat(l_returnflag, 'x') AS wrong", "l_linestatus AS correct", "string(l_suppkey % 40) AS clause").distinct())
 )
+
+# persons, words, claims, stored memory
+
+_PERSONS = [("李白", "唐代诗人", "701—762"), ("杜甫", None, "712—770"), ("杜甫", "乐师", "前 99"), ("王勃", "诗人", "约650—676"), ("李白石", "画家", "1")]
+_PERSON = """concat(text, CASE doc_id % 9 WHEN 0 THEN ' 李白（701—762）' WHEN 1 THEN ' 李 白( 唐代诗人， 701—762 )' WHEN 2 THEN ' 杜甫（712—770）' WHEN 3 THEN ' 杜甫（700）' WHEN 4 THEN ' 王勃（650）' WHEN 5 THEN ' 李白（700—762）' WHEN 6 THEN ' 李白石（画家）李白' WHEN 7 THEN ' 杜甫（前99）' ELSE ' 杜甫 x 李白（' END)"""
+_VERDICTS = [(0, "李白（701—762）", "已核验", 1), (1, "李 白( 唐代诗人， 701—762 )", "已核验", 1), (2, "杜甫（712—770）", "已核验", 1), (2, "杜甫（712—770）", "多项备核", 1), (3, "杜甫（700）", "核验错误；多项备核", 1), (4, "王勃（650）", "备核", 1),
+             (5, "李白（700—762）", "核验错误", 1), (6, "李白石（画家）", "已核验", 1), (6, "李白", "备核", 8), (7, "杜甫（前99）", "已核验", 1), (7, "杜甫（前99）", "多项备核", 1), (8, "杜甫", "备核", 1)]
+register("j17_persons", f"SELECT doc_id, variant, preferred, 1::BIGINT AS n, length(text) + place AS first_pos FROM documents JOIN {sql_rows(_VERDICTS, 'k, variant, preferred, place')} ON k = doc_id % 9 WHERE text IS NOT NULL")(
+    lambda s, d: persons.person_check(documents(s, d).select("doc_id", F.expr(_PERSON).alias("text")), s.createDataFrame(_PERSONS, "name string, label string, raw string"))
+)
+register("g25_words", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]') AS w FROM documents), x AS (SELECT doc_id, unnest(range(0, len(w))) AS idx, unnest(w) AS word FROM w)
+SELECT doc_id, idx, word, CASE WHEN regexp_full_match(word, '\p{N}+') THEN 'm' WHEN regexp_matches(word, '[\p{L}\p{N}]') THEN 'n' ELSE 'x' END AS tag FROM x""")(lambda s, d: segment.words(documents(s, d)).select("doc_id", "idx", "word", "tag"))
+register("g25_word_places", "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")(
+    lambda s, d: segment.words(documents(s, d)).join(documents(s, d), "doc_id").groupBy("doc_id").agg(F.min(F.expr("substring(text, start + 1, end - start) = word")).alias("same"))
+)
+_ENTITY = """concat('{"Q1": {"claims": {"P31": [{"mainsnak": {"datavalue": {"type": "wikibase-entityid", "value": {"id": "Q', doc_id % 3 + 2, '"}}}}], "P569": [{"rank": "normal", "mainsnak": {"datavalue": {"type": "time", "value": {"time": "+1000-01-01"}}}}, {"rank": "preferred", "mainsnak": {"datavalue": {"type": "time", "value": {"time": "+', 1000 + doc_id, '-01-01"}}}}], "P106": [{"mainsnak": {"datavalue": {"type": "string", "value": "poet"}}}], "P1": [{}], "P570": []}}, "Q2": {"labels": {"en": {"value": "man"}}}, "Q3": {"labels": {"en": {"value": "man"}, "zh": {"value": "人"}}}}')"""
+register("f39_claims", "SELECT doc_id, concat('出生 ', left((1000 + doc_id)::VARCHAR, 4), '；类型 ', CASE doc_id % 3 WHEN 0 THEN 'man' WHEN 1 THEN '人' ELSE 'Q4' END, '；职业 poet') AS summary FROM documents")(
+    lambda s, d: documents(s, d).select("doc_id", claims.claim_summary(F.expr(_ENTITY), F.lit("Q1")).alias("summary"))
+)
+register("h14_round_summaries", r"""WITH x AS (SELECT doc_id, text, regexp_replace(text, '\s+', ' ', 'g') AS o, list_filter(string_split(text, chr(10)), lambda z: true) AS ls FROM documents WHERE NOT regexp_matches(text, '^\s|\s$|\n\s|\s\n|  ') AND length(text) > 100),
+p AS (SELECT *, concat('句式要点：', array_to_string(list_transform(ls[1:4], lambda z: concat('「', CASE WHEN length(z) > 70 THEN left(z, 70) || '…' ELSE z END, '」→「x」')), '；'), CASE WHEN len(ls) > 4 THEN concat('；共 ', len(ls), ' 处句式级改动') ELSE '' END) AS body FROM x)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '无文本差异。' WHEN 1 THEN '无实质改动（仅空白、转行等忽略不计）。' WHEN 2 THEN concat('「', left(o, 90), '…」→「new」（句粒度未分项）') ELSE CASE WHEN length(body) > 200 THEN left(body, 200) || '…' ELSE body END END AS summary FROM p""")(lambda s, d: _summaries(s, d))
+
+
+def _summaries(s: SparkSession, d: str) -> DataFrame:
+    rows = documents(s, d).filter(~F.col("text").rlike(r"^\s|\s\z|\n\s|\s\n|  ") & (F.length("text") > 100))
+    pairs = F.when(F.col("doc_id") % 4 == 3, F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("before"), F.lit(" x").alias("after")))).otherwise(F.array().cast("array<struct<before: string, after: string>>"))
+    final = F.expr("CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, ' ', '  ') ELSE 'new' END")
+    return rows.select("doc_id", memory.round_summary(F.col("text"), final, pairs, 200).alias("summary"))
+
+
+_STORED = """concat('{"version": ', CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 2 END, ', "global": [{"original": "a', doc_id, '", "changedTo": "b", "weight": 5000, "id": "g"}, {"original": "x"}]', CASE WHEN doc_id % 2 = 0 THEN ', "currentRounds": [{"id": "r", "body": "t"}, {"id": "q"}]' ELSE ', "recent": [{"original": "c", "changedTo": "d", "weight": 2.7, "note": " "}], "current": [{"original": "e", "changedTo": "f", "note": "n", "id": "i", "createdAt": "then"}]' END, '}')"""
+register("h16_migrated", """SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN concat('g now a', doc_id, ' b 1000') ELSE '' END AS entries, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'r now t' ELSE concat('new now c <changed to> d <weight> 2 [id:new] [at:now]', chr(10), 'e <changed to> f <weight> 0 <note> n [id:i] [at:then]') END AS rounds FROM documents""")(
+    lambda s, d: documents(s, d).select("doc_id", memory.migrated(F.expr(_STORED), F.lit("new"), F.lit("now")).alias("m")).selectExpr(
+        "doc_id", "array_join(transform(m.global, e -> concat_ws(' ', e.id, e.created_at, e.entry.original, e.entry.changed_to, string(e.entry.weight))), ';') AS entries", "array_join(transform(m.rounds, r -> concat_ws(' ', r.id, r.created_at, r.body)), ';') AS rounds")
+)
