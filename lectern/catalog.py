@@ -9,7 +9,7 @@ from .functions import text as T
 from .operators import align, check, duplicates, retrieve, rewrite, segment, stats
 from .plans import batch_queries, derived_queries, document_queries, hit_queries, more_queries, place_queries, structure_queries, table_queries  # noqa: F401
 from .plans.registry import ORACLE, QUERIES, Query, documents as _docs, register as _register, sql_rows as _sql_values, values as _values
-from .plans.views import KEYED, MD_DOCS, SENTENCES, WS, md_docs, sql_trim, table
+from .plans.views import KEYED, MARKED, MD_DOCS, SENTENCES, WS, md_docs, sql_trim, table
 
 # duplicates and sentences
 
@@ -37,7 +37,10 @@ SELECT g.doc_id, g.idx::INT AS idx, g.group_id::INT AS group_id, round(b.score,
     lambda s, d: duplicates.similar_groups(duplicates.similar_pairs(duplicates.keyed_sentences(_docs(s, d)))).withColumn("score", F.round("score", 6))
 )
 _register("g08_sentences", f"WITH {SENTENCES} SELECT doc_id, idx, sentence FROM sentences")(lambda s, d: segment.sentences(_docs(s, d)))
-_register("g10_sentence_spans")(lambda s, d: segment.sentence_spans(_docs(s, d)))
+_register("g10_sentence_spans", f"""WITH p AS (SELECT doc_id, list_filter(string_split({MARKED}, chr(1)), lambda x: x <> '') AS ss FROM documents),
+u AS (SELECT doc_id, unnest(ss) AS s, unnest(range(0, len(ss))) AS idx FROM p), b AS (SELECT *, length(s) - length(replace(s, chr(10), '')) AS breaks FROM u),
+o AS (SELECT *, coalesce(sum(length(s)) OVER w, 0)::INT AS pos, 1 + coalesce(sum(breaks) OVER w, 0)::INT AS line, regexp_extract(s, '^{WS}*') AS lead, regexp_replace(s, '{WS}+$', '') AS body FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, s AS sentence, (line + length(lead) - length(replace(lead, chr(10), '')))::INT AS start_line, (line + length(body) - length(replace(body, chr(10), '')))::INT AS end_line, pos AS start_offset, (pos + length(s))::INT AS end_offset FROM o WHERE body <> ''""")(lambda s, d: segment.sentence_spans(_docs(s, d)))
 _register("g11_clauses", f"""WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^,;.]*[,;.]|[^,;.]+'), lambda x: {sql_trim('x')}), lambda x: x <> '') AS cs FROM documents)
 SELECT doc_id, unnest(range(0, len(cs))) AS idx, unnest(cs) AS clause FROM c""")(lambda s, d: segment.clauses(_docs(s, d), ",;."))
 _register("g24_rejoined", f"WITH {SENTENCES} SELECT doc_id, string_agg(sentence, chr(10) || chr(10) ORDER BY idx) AS text FROM sentences GROUP BY doc_id")(
@@ -55,8 +58,19 @@ _register("g02_by_title", f"""WITH {MD_DOCS},
 t AS (SELECT doc_id, line_no, line, sum((starts_with(line, '## '))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM md_lines),
 p AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY line_no) AS target FROM t GROUP BY doc_id, k)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1) AS idx, target FROM p""")(lambda s, d: segment.by_title(md_docs(s, d)))
-_register("g03_title_and_length")(lambda s, d: segment.by_title_and_length(md_docs(s, d)))
-_register("g04_resplit_long")(lambda s, d: segment.resplit_long(segment.by_title(md_docs(s, d))))
+_filled = lambda source, limit: f"""st AS (SELECT k, line_no, line, length(line) AS n, 0 AS idx, length(line) >= {limit} AND {sql_trim('line')} = '' AS close FROM {source} WHERE line_no = 1
+ UNION ALL SELECT l.k, l.line_no, l.line, CASE WHEN s.close THEN 0 ELSE s.n END + length(l.line), s.idx + s.close::INT,
+  CASE WHEN s.close THEN 0 ELSE s.n END + length(l.line) >= {limit} AND {sql_trim('l.line')} = '' FROM st s JOIN {source} l ON l.k = s.k AND l.line_no = s.line_no + 1)"""
+_SECTIONS = f"""{MD_DOCS},
+t AS (SELECT doc_id, line_no, line, sum((starts_with(line, '## '))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM md_lines),
+p AS (SELECT doc_id, g, string_agg(line, chr(10) ORDER BY line_no) AS target FROM t GROUP BY doc_id, g),
+sections AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS section, target FROM p),
+sl AS (SELECT doc_id * 100000 + section AS k, unnest(string_split(target, chr(10))) AS line, unnest(range(1, len(string_split(target, chr(10))) + 1)) AS line_no FROM sections)"""
+_register("g03_title_and_length", f"""WITH RECURSIVE {_SECTIONS}, {_filled('sl', 600)}
+SELECT doc_id, section, idx, string_agg(line, chr(10) ORDER BY line_no) AS target, any_value(target) AS context FROM st JOIN sections ON k = doc_id * 100000 + section GROUP BY doc_id, section, idx""")(lambda s, d: segment.by_title_and_length(md_docs(s, d)))
+_register("g04_resplit_long", f"""WITH RECURSIVE {_SECTIONS}, {_filled('sl', 800)}
+SELECT doc_id, section AS idx, idx AS piece, string_agg(line, chr(10) ORDER BY line_no) AS target FROM st JOIN sections ON k = doc_id * 100000 + section WHERE length(sections.target) > 1500 GROUP BY doc_id, section, idx
+UNION ALL SELECT doc_id, section, 0, target FROM sections WHERE length(target) <= 1500""")(lambda s, d: segment.resplit_long(segment.by_title(md_docs(s, d))))
 _register("g05_merge_short", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
 k AS (SELECT doc_id, i, x, coalesce(sum((length(x) >= 100)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM l)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1) AS idx, target FROM (SELECT doc_id, g, string_agg(x, chr(10) ORDER BY i) AS target FROM k GROUP BY doc_id, g)""")(
@@ -221,7 +235,8 @@ _RULES = {"the": "THE", "they": "THEY", "de la": "DE-LA"}
 _register("e02_apply_rules", "SELECT doc_id, replace(replace(replace(replace(replace(text, 'they', chr(2)), 'de la', chr(3)), 'the', 'THE'), chr(2), 'THEY'), chr(3), 'DE-LA') AS text FROM documents")(
     lambda s, d: rewrite.apply_rules(_docs(s, d), _RULES)
 )
-_register("j14_literal_check")(lambda s, d: rewrite.literal_check(_docs(s, d), _RULES))
+_register("j14_literal_check", f"""WITH p AS (SELECT doc_id, text, unnest(range(0, length(text))) AS start FROM documents), q AS (SELECT doc_id, start, substring(text, start + 1, 5) AS t FROM p WHERE substring(text, start + 1, 1) IN ('t', 'd'))
+SELECT doc_id, variant, preferred, start::INT AS start, (start + length(variant))::INT AS "end" FROM q JOIN {_sql_values([('the', 'THE'), ('they', 'THEY'), ('de la', 'DE-LA')], 'variant, preferred')} ON starts_with(t, variant) AND NOT (variant = 'the' AND starts_with(t, 'they'))""")(lambda s, d: rewrite.literal_check(_docs(s, d), _RULES))
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,7 @@ inside its own row, so nothing is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, bound, line_endings, trimmed
@@ -115,12 +115,13 @@ def sentence_spans(df: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     A span's start line is that of its first visible character. Blank spans are left out.
     """
     breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    begin = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<int>").alias("line"), F.lit(0).alias("a"), F.lit(1).alias("l"))
-    step = lambda a, s: F.struct(
-        F.concat(a["at"], F.array(a.a)).alias("at"), F.concat(a.line, F.array(a.l)).alias("line"), (a.a + F.length(s)).alias("a"), (a.l + breaks(s)).alias("l")
-    )
-    places = lambda ss: bound(F.aggregate(ss, begin, step), lambda p: F.transform(ss, lambda s, i: F.struct(s.alias("s"), F.get(p["at"], i).alias("at"), F.get(p.line, i).alias("line"))))
-    spans = bound(F.filter(F.split(marked_sentences(F.col(text)), CUT), lambda s: s != ""), places)
+    # Marks and line breaks by place: a mark's place among both tells the lines before it, its place among marks how far it shifts the text.
+    signs = lambda m: F.filter(F.transform(F.split(m, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda e: e.c.isin(CUT, "\n"))
+    marks = lambda m: F.filter(F.transform(signs(m), lambda e, j: F.struct(e.c.alias("c"), e.i.alias("i"), j.alias("j"))), lambda e: e.c == CUT)
+    begin = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"))
+    places = lambda m: F.concat(F.array(begin), F.transform(marks(m), lambda e, k: F.struct((e.i - k).alias("at"), (e.j - k + 1).alias("line"))))
+    each = lambda z: F.struct(z.s.alias("s"), z.p["at"].alias("at"), z.p.line.alias("line"))
+    spans = bound(marked_sentences(F.translate(F.col(text), CUT, " ")), lambda m: F.transform(F.arrays_zip(F.split(m, CUT).alias("s"), places(m).alias("p")), each))
     rows = df.select(key, F.inline(F.filter(spans, lambda x: trimmed(x.s) != "")))
     lead = F.regexp_extract("s", rf"^{SPACE}*", 0)
     body = F.regexp_replace("s", rf"{SPACE}+$", "")
@@ -168,32 +169,20 @@ def headings(df: DataFrame, levels: tuple[int, ...] = (1, 2, 3, 4, 5, 6), *, key
 def outline(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, level, title, heading_path): headings outside code fences, with their ancestors.
 
-    Fences and the stack of open headings are folded through the document's own lines.
+    A heading's ancestor at a smaller level is the last one there, if none of a still smaller level came after it. Only headings are shuffled, by key.
     """
-    state = F.struct(
-        F.array().cast("array<struct<line_no: int, level: int, title: string, heading_path: string>>").alias("out"),
-        F.array().cast("array<struct<level: int, title: string>>").alias("open"),
-        F.lit(False).alias("fence"),
-        F.lit(1).alias("at"),
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        fence = x.startswith("```")
-        level = F.length(F.regexp_extract(x, r"^(#{1,6})\s+(.+?)\s*$", 1))
-        title = F.trim(F.regexp_replace(F.regexp_extract(x, r"^(#{1,6})\s+(.+?)\s*$", 2), r"\s+#+\s*$", ""))
-        here = ~a.fence & ~fence & (level > 0) & (title != "")
-        above = F.filter(a.open, lambda h: h.level < level)
-        stack = F.concat(above, F.array(F.struct(level.alias("level"), title.alias("title"))))
-        path = F.array_join(F.transform(stack, lambda h: h.title), " > ")
-        row = F.struct(a["at"].alias("line_no"), level.alias("level"), title.alias("title"), path.alias("heading_path"))
-        return F.struct(
-            F.when(here, F.concat(a.out, F.array(row))).otherwise(a.out).alias("out"),
-            F.when(here, stack).otherwise(a.open).alias("open"),
-            F.when(fence, ~a.fence).otherwise(a.fence).alias("fence"),
-            (a["at"] + 1).alias("at"),
-        )
-
-    return df.select(key, F.inline(F.aggregate(F.split(line_endings(F.col(text)), "\n"), state, step, lambda a: a.out)))
+    rows = F.split(line_endings(F.col(text)), "\n")
+    fences = F.array_join(F.transform(rows, lambda x: F.when(x.startswith("```"), "f").otherwise("p")), "")
+    outside = F.split(F.array_join(F.transform(F.split(fences, "f"), lambda x, i: F.when(i % 2 == 1, F.translate(x, "p", "c")).otherwise(x)), "f"), "")
+    found = F.filter(F.transform(F.arrays_zip(rows.alias("line"), outside.alias("kind")), lambda z, i: F.struct((i + 1).alias("line_no"), z.line.alias("line"), z.kind.alias("kind"))), lambda z: (z.kind == "p") & z.line.startswith("#"))
+    heads = df.select(key, F.inline(found)).withColumn("level", F.length(F.regexp_extract("line", r"^(#{1,6})\s+(.+?)\s*$", 1)))
+    heads = heads.withColumn("title", F.trim(F.regexp_replace(F.regexp_extract("line", r"^(#{1,6})\s+(.+?)\s*$", 2), r"\s+#+\s*$", ""))).filter("level > 0 AND title <> ''")
+    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("level") == n, F.struct("line_no", "title")), ignorenulls=True).over(before).alias(f"_{n}") for n in range(1, 6)]
+    heads = heads.select(key, "line_no", "level", "title", *last)
+    newest = lambda n: F.greatest(F.lit(0), F.lit(0), *(F.coalesce(F.col(f"_{m}.line_no"), F.lit(0)) for m in range(1, n)))
+    above = F.array_compact(F.array(*(F.when((F.col("level") > n) & (F.col(f"_{n}.line_no") > newest(n)), F.col(f"_{n}.title")) for n in range(1, 6))))
+    return heads.select(key, "line_no", "level", "title", F.array_join(F.concat(above, F.array("title")), " > ").alias("heading_path"))
 
 
 def toc_entries(df: DataFrame, base: int = 1, *, key: str = "doc_id", text: str = "text") -> DataFrame:

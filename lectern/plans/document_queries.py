@@ -38,7 +38,9 @@ register("g21_blockquotes", f"""WITH {_QUOTED}, k AS (SELECT *, regexp_matches(l
 SELECT doc_id, min(line_no) AS start_line, max(line_no) AS end_line, string_agg({_STRIPPED}, chr(10) ORDER BY line_no) AS quote FROM k WHERE quoted GROUP BY doc_id, run""")(
     lambda s, d: sections.blockquotes(_marked(s, d, 3, " > "))
 )
-register("g22_quote_sentences")(lambda s, d: sections.quote_sentences(sections.blockquotes(_marked(s, d, 3, " > "))))
+register("g22_quote_sentences", f"""WITH ql AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM main.documents),
+documents AS (SELECT doc_id * 1000000 + line_no AS doc_id, text FROM ql WHERE line_no % 3 = 0), {SENTENCES}
+SELECT doc_id // 1000000 AS doc_id, sentence, (doc_id % 1000000)::INT AS start_line, (doc_id % 1000000)::INT AS end_line FROM sentences""")(lambda s, d: sections.quote_sentences(sections.blockquotes(_marked(s, d, 3, " > "))))
 register("g13_line_paragraphs", f"""WITH {MD_DOCS}, b AS (SELECT *, {sql_trim('line')} = '' AS blank FROM md_lines),
 f AS (SELECT *, (NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY line_no), true))::INT AS first FROM b)
 SELECT doc_id, line_no, CASE WHEN blank THEN 0 ELSE sum(first) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 END::BIGINT AS paragraph FROM f""")(lambda s, d: sections.line_paragraphs(md_docs(s, d)))

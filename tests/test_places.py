@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import memory, notes, private_use
-from lectern.operators import context, numbering, parse
+from lectern.operators import context, numbering, parse, segment
 from lectern.plans.views import md_docs
 
 
@@ -97,3 +97,36 @@ def test_notes_and_memory_of_nothing(spark):
     ).first()
     assert (row.next_line, row.end, row.none) == (None, "^1^", None)
     assert (row.e.original, row.e.changed_to, row.e.weight, row.e.note) == ("", "b", 0, None)
+
+
+def test_outline_equals_a_stack(spark):
+    import random
+
+    draw, texts = random.Random(3), []
+    for _ in range(40):
+        texts.append("\n".join(draw.choice(["x", "", "```", "#" * draw.randint(1, 7) + " " + draw.choice("abc") + draw.choice(["", " ##"]), "# "]) for _ in range(draw.randint(0, 30))))
+    want = []
+    for k, text in enumerate(texts):
+        fence, stack = False, []
+        for n, line in enumerate(text.split("\n"), 1):
+            if line.startswith("```"):
+                fence = not fence
+                continue
+            hashes = len(line) - len(line.lstrip("#"))
+            title = line[hashes:].strip().removesuffix(" ##").strip()
+            if fence or not 1 <= hashes <= 6 or not title or line[hashes] != " ":
+                continue
+            stack = [h for h in stack if h[0] < hashes] + [(hashes, title)]
+            want.append((k, n, hashes, title, " > ".join(t for _, t in stack)))
+    found = segment.outline(spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id int, text string")).orderBy("doc_id", "line_no").collect()
+    assert [(r.doc_id, r.line_no, r.level, r.title, r.heading_path) for r in found] == want
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    import time
+
+    long = spark.createDataFrame([(1, "# a\nOne is. Two are! Three\n\n" * 40_000)], "doc_id int, text string")
+    began = time.perf_counter()
+    assert segment.sentence_spans(long).count() == 40_000 * 3
+    assert segment.outline(long).count() == 40_000
+    assert time.perf_counter() - began < 30
