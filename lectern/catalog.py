@@ -146,27 +146,29 @@ _register("t03_window_calls", "SELECT event_id, user_id, count(*) OVER (PARTITIO
 
 # retrieval
 
-_TERMS = [(1, "the"), (1, "tion"), (2, "de"), (2, "que"), (3, "der"), (3, "einen"), (3, "ist")]
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "benchmark").filter("item_id % 100 = 0").selectExpr("item_id AS query_id", "text AS query")
+
+
 _BM25 = f"""WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_TOKEN}'))) AS term FROM documents),
 k AS (SELECT * FROM t WHERE NOT (length(term) = 1 AND NOT regexp_matches(term, '[a-z0-9]'))),
 l AS (SELECT doc_id, count(*) AS dl FROM k GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
-q AS (SELECT * FROM {_sql_values(_TERMS, 'query_id, term')}),
+q AS (SELECT DISTINCT item_id AS query_id, lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark WHERE item_id % 100 = 0),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM k WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 x AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
  FROM tf JOIN df USING (term) JOIN l USING (doc_id) JOIN q USING (term), s GROUP BY ALL)"""
 _register("r01_bm25", f"""{_BM25} SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) WHERE rank <= 25""")(
-    lambda s, d: retrieve.bm25(_docs(s, d), s.createDataFrame(_TERMS, "query_id int, term string")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    lambda s, d: retrieve.bm25(_docs(s, d), retrieve.tokens(_asked(s, d), key="query_id", text="query")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 )
 _register("a10_corpus_stats", f"""{_BM25} SELECT n AS n_docs, round(avgdl, 6) AS avg_len FROM s""")(
     lambda s, d: retrieve.corpus_stats(retrieve.tokens(_docs(s, d))).withColumn("avg_len", F.round("avg_len", 6))
 )
-_ASKED = [(1, "the thation of and"), (2, "de la queaux"), (3, "der die und einen")]
 _GRAMS = lambda src, key, text: f"(SELECT {key}, g, count(*) AS tf FROM (SELECT {key}, unnest(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) AS g FROM (SELECT {key}, regexp_replace({text}, '\\s+', '', 'g') AS t FROM {src})) GROUP BY ALL)"
-_register("r03_bigram_cosine", f"""WITH q AS (SELECT * FROM {_sql_values(_ASKED, 'query_id, query')}), dg AS {_GRAMS('documents', 'doc_id', 'text')}, qg AS {_GRAMS('q', 'query_id', 'query')},
+_register("r03_bigram_cosine", f"""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 100 = 0), dg AS {_GRAMS('documents', 'doc_id', 'text')}, qg AS {_GRAMS('q', 'query_id', 'query')},
 dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM dg GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS m FROM qg GROUP BY query_id),
 x AS (SELECT query_id, doc_id, sum(dg.tf * qg.tf) / (any_value(n) * any_value(m)) AS score FROM dg JOIN qg USING (g) JOIN dn USING (doc_id) JOIN qn USING (query_id) GROUP BY ALL)
 SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x WHERE score >= 0.15) WHERE rank <= 20""")(
-    lambda s, d: retrieve.bigram_cosine(_docs(s, d), s.createDataFrame(_ASKED, "query_id int, query string")).withColumn("score", F.round("score", 6))
+    lambda s, d: retrieve.bigram_cosine(_docs(s, d), _asked(s, d)).withColumn("score", F.round("score", 6))
 )
 _register("r04_dense_cosine", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 100 = 0),
 x AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], query) AS score FROM embeddings JOIN q ON vec_id <> query_id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import substrings
@@ -10,10 +10,14 @@ from .segment import lines
 from .sizes import small
 
 
+def _terms(text: Column) -> Column:
+    """The tokens of letters and digits, normalized for search, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: (F.length(t) > 1) | t.rlike("[a-z0-9]"))
+
+
 def tokens(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term): one row a token of letters and digits, normalized for search."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
-    return words.filter((F.length("term") > 1) | F.col("term").rlike("[a-z0-9]"))
+    """(key, term): one row a token."""
+    return df.select(key, F.explode(_terms(F.col(text))).alias("term"))
 
 
 def corpus_stats(toks: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -24,13 +28,12 @@ def corpus_stats(toks: DataFrame, *, key: str = "doc_id") -> DataFrame:
 def bm25(df: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, top: int = 25, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, key, score, rank) for queries (query_id, term); scores above 0, best first, ties by key.
 
-    One pass counts every query term in its document row, so only the few (document, term) counts and the length of
-    each document are shuffled, never the tokens.
+    Lengths are taken inside each row, and tokens that no query asks for go before counting, so only the asked
+    (document, term) counts and one length a row are shuffled, never the tokens.
     """
     asked = queries.select("query_id", F.lower("term").alias("term")).distinct()
-    counted = tokens(df, key=key, text=text)
-    lengths = counted.groupBy(key).agg(F.count("*").alias("dl"))
-    tf = counted.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    lengths = df.select(key, F.size(_terms(F.col(text))).alias("dl")).groupBy(key).agg(F.sum("dl").alias("dl")).filter("dl > 0")
+    tf = tokens(df, key=key, text=text).join(small(asked.select("term").distinct()), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
     df_terms = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -49,7 +52,11 @@ def bigrams(df: DataFrame, *, key: str, text: str) -> DataFrame:
 
 
 def bigram_cosine(df: DataFrame, queries: DataFrame, top: int = 20, least: float = 0.15, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, key, score, rank) by cosine of bigram counts, for queries (query_id, query)."""
+    """(query_id, key, score, rank) by cosine of bigram counts, for queries (query_id, query).
+
+    Each text's bigrams are counted before the shuffle, which carries its distinct ones; both norms and dots read that one exchange.
+    Norms folded inside each row were measured and took over three times as long.
+    """
     grams = bigrams(df, key=key, text=text)
     norms = grams.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     asked = bigrams(queries, key="query_id", text="query").withColumnRenamed("tf", "qtf")
