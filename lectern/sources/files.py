@@ -77,3 +77,19 @@ def in_scope(path, prefixes: list[str], excluded: list[str] = ()):
     under = lambda p: (path == p) | path.startswith(p.rstrip("/") + "/")
     any_of = lambda ps: F.lit(False) if not ps else reduce(lambda a, b: a | b, map(under, ps))
     return any_of(prefixes) & ~any_of(list(excluded))
+
+
+#: What stands between units in one text.
+UNIT_BREAK = "\n---\n"
+
+
+def write_units(units: DataFrame, folder: str, *, key: str = "doc_id", target: str = "target") -> None:
+    """Units (key, idx, target, ...) as JSON lines in ``units``, as text in ``joined``, a break after each unit, and the sizes of each key's units in ``stats``.
+
+    Both copies are in the order of key and idx over all part files, which a range partition and a sort within each partition give; null targets are empty text.
+    """
+    ordered = units.repartitionByRange(key, "idx").sortWithinPartitions(key, "idx")
+    ordered.write.json(f"{folder}/units")
+    ordered.select(F.coalesce(F.col(target), F.lit("")).alias("value")).write.option("lineSep", UNIT_BREAK).text(f"{folder}/joined")
+    size = F.length(F.trim(F.coalesce(F.col(target), F.lit(""))))
+    units.groupBy(key).agg(F.count("*").alias("units"), F.max(size).alias("longest"), F.min(size).alias("shortest"), F.sum(size).alias("chars")).write.json(f"{folder}/stats")

@@ -86,3 +86,14 @@ def test_sentences_restore_the_text(spark):
 def test_normalization_options(spark):
     row = spark.createDataFrame([("　a1①[^2]，^x^ b　",)], "t string").select(T.normalize(F.col("t"), T.CITATION).alias("c"), T.trimmed(F.col("t")).alias("p")).first()
     assert row.c == "，" and row.p == "a1①[^2]，^x^ b"
+
+
+def test_units_are_written_in_order(spark, tmp_path):
+    from lectern.sources import files
+
+    rows = [(k, i, None if i == 3 else f"unit {k}.{i}\n\nend") for k in (2, 1) for i in (4, 0, 3, 2, 1)]
+    files.write_units(spark.createDataFrame(rows, "doc_id int, idx int, target string").repartition(5), str(tmp_path))
+    joined = "".join(p.read_text() for p in sorted((tmp_path / "joined").glob("part-*")))
+    assert joined == "".join(("" if i == 3 else f"unit {k}.{i}\n\nend") + files.UNIT_BREAK for k in (1, 2) for i in range(5))
+    assert spark.read.json(str(tmp_path / "units")).count() == 10
+    assert {(r.doc_id, r.units, r.longest, r.shortest, r.chars) for r in spark.read.json(str(tmp_path / "stats")).collect()} == {(1, 5, 13, 0, 52), (2, 5, 13, 0, 52)}
