@@ -74,6 +74,25 @@ def test_replacements():
     assert rewrite.overlap_kept(["abcd", "abcd", "xyz"]) == [True, False, True]
 
 
+def test_one_changed_word_is_found_among_repeats():
+    words = "a b a b c a b a b a a".split()
+    for at, word in enumerate(words):
+        assert rewrite.word_changes(words, words[:at] + [word + "☆"] + words[at + 1 :]) == [(word, word + "☆")]
+    assert rewrite.word_changes(["a"] * 5, ["a", "a", "x", "a", "a"]) == [("a", "x")] and rewrite.word_changes([], ["a"]) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
+def test_common_places_are_longest(a, b):
+    found = rewrite.common_places(a, b)
+    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+    assert len(found) == longest[-1][-1] and all(a[i] == b[j] for i, j in found)
+    assert all(p < q and r < s for (p, r), (q, s) in zip(found, found[1:]))
+
+
 def test_sentences_restore_the_text(spark):
     texts = ["一。二！”\n\n三？ in 1999. Next... end\n \n　\nA.B", "no stop", "", "a!?\n\n\nb"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
