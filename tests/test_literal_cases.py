@@ -55,6 +55,11 @@ def test_evidence(spark):
     snippets = ["02:42", "02:42\n李白（701—762），字太白，号青莲居士，唐代诗人。", "目录\n作品原文\n词句注释", "short", long, "02:42\n" + long]
     assert results(spark, snippets, E.is_noisy) == [True, True, True, True, False, True]
     assert results(spark, snippets, E.clean_snippet) == ["", "", "", "", long, long]
+    odd = ["  \n" + long, "12:34:56\n" + long + "\n 作品名称 x", "# Head\n" + long, "# Head", "#\nabcdefghijklmnop", "视频 x\n配乐\n" + long, "a　b" * 90 + "\n\n1:02", None, " \n "]
+    assert results(spark, odd, E.is_noisy) == [False, True, True, True, True, True, False, True, True]
+    assert results(spark, odd, E.clean_snippet) == [long, long, long, "", "", long, "a　b" * 90, "", ""]
+    plan = spark.range(1).select(E.clean_snippet(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") < 20  # each line is judged once, not once for each test of the snippet
     assert results(spark, ["李 白（革命烈士）", " 李白 [x]", "a b(c)"], E.dictionary_candidate) == ["李白", "李白", "a b"]
     terms = spark.createDataFrame([(["李白/李朴"],), (["杜甫"],)], "t array<string>").select(E.anchor_terms(F.col("t")).alias("a")).collect()
     assert [r.a for r in terms] == [["李白/李朴", "李白", "李朴"], ["杜甫"]]
