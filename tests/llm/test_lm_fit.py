@@ -1,6 +1,7 @@
 """The model of op3 learns from every counted word, and its scores equal a plain sum bit by bit."""
 
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -38,6 +39,20 @@ def test_every_counted_word_is_learnt(spark, small):
     assert np.allclose(whole.logits, alone.logits, atol=1e-4) and np.array_equal(whole.prefix_levels, alone.prefix_levels)
 
 
+def test_the_driver_never_holds_the_counts(spark, small):
+    names, vocabulary, held = vocabulary_of(spark, small)
+    lm_scoring.learn(vocabulary.limit(100), names)  # imports and caches
+    tracemalloc.start()
+    model = lm_scoring.learn(vocabulary, names)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * lm_scoring.SLOTS  # the counts alone are 16 bytes a slot, the model 5
+    learner = lm_scoring.Learner()
+    learner.take(*listed(held, names))
+    alone = lm_scoring.frozen(learner.sums())
+    assert np.array_equal(model.levels, alone.levels) and np.allclose(model.prefix_logits, alone.prefix_logits, atol=1e-4)
+
+
 def test_learnt_weights_lower_the_cost_of_words_not_seen(spark, small):
     names, _, held = vocabulary_of(spark, small)
     given, cls, n = listed(held, names)
