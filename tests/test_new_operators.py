@@ -25,6 +25,17 @@ def test_greedy_pairs_use_each_clause_once():
     assert align.greedy_pairs([], ["a"]) == [] == align.greedy_pairs(["a"], [])
 
 
+def test_best_matches_by_index_equal_the_join(spark, monkeypatch):
+    texts = ["abcabd", "abcabe", "ab", "ab", "b", "", "xyzxyz", "abcab", "日本語の文", "日本語の本", "abcabd"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, norm string")
+    cites, refs = rows.withColumnRenamed("i", "cite_id"), rows.withColumnRenamed("i", "ref_id")
+    monkeypatch.setattr(align, "CITATIONS", 4)
+    found = align.best_matches(cites, refs, 0.2)
+    want = align.bucket_matches(cites, refs, 0.2, 0.2, 3, 2)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_numbers_follow_the_order(spark):
     frame = spark.range(300).selectExpr("id % 17 AS x", "id AS y").unionAll(spark.createDataFrame([(None, -1)], "x long, y long"))
     found = order.numbered(frame, "x", parts=7).orderBy("nth").collect()
