@@ -82,3 +82,21 @@ def test_refresh_sets_and_entry_scores(spark):
     scored = select.entry_scores(entry).first()
     assert scored.final_score == max(0.2, scored.relevance) and 0 <= scored.relevance <= 1
     assert select.entry_scores(entry.select("target", "matched_key", "cleaned", "candidates", F.lit(5.0).alias("priority"))).first().final_score == 2.5
+
+
+def test_exact_entries_spread_a_frequent_key(spark, monkeypatch):
+    monkeypatch.setattr(select, "ENTRIES", 8, raising=False)
+    monkeypatch.setattr(select, "TERMS", 16, raising=False)
+    asked = [(i, "often") for i in range(200)] + [(200, "once"), (201, "none"), (202, None), (203, " o​nce")]
+    known = [("often", i % 60) for i in range(120)] + [("once", 1), ("once", 1), (None, 2), ("other", 3)]
+    terms, entries = spark.createDataFrame(asked, "id long, term string"), spark.createDataFrame(known, "headword string, body long")
+    found = select.exact_entries(terms, entries)
+    assert found.columns == ["id", "term", "headword", "body"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = found.withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = [(i, t, h, b) for i, t in asked if t for h, b in known if h and t.replace("​", "").strip() == h]
+    assert sorted((r.id, r.term, r.headword, r.body) for r in rows) == sorted(want)
+    assert len({r["at"] for r in rows if r.headword == "often"}) > 1
