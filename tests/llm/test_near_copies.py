@@ -114,3 +114,47 @@ def test_pipeline_drops_every_near_copy(spark, small):
     items = [decontamination.normalized(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     want = {i for n, i in enumerate(ids) if label[n] == n and not any(item in decontamination.normalized(texts[i]) for item in items)}
     assert {r.doc_id for r in pipeline.run(spark, small).select("doc_id").distinct().collect()} == want and len(want) > 100
+
+
+def test_fingerprints_gather_the_copies(spark, monkeypatch):
+    """SimHash tables and radius alone connect every pair of near copies, in buckets of any size."""
+    texts = [t for t in corpus(7) if brute_set(t)]
+    sets = [near_copies.shingles(t) for t in texts]
+    want = brute_labels(texts)
+    frame = spark.createDataFrame([(i, bytearray(near_copies.fingerprint(s))) for i, s in enumerate(sets)], "fp long, print binary")
+    for bucket, prints in ((2048, 4096), (8, 4096), (8, 4), (2048, 16)):
+        monkeypatch.setattr(near_copies, "BUCKET", bucket)
+        monkeypatch.setattr(near_copies, "PRINTS", prints)
+        chosen = near_copies.tables(len(sets), 0.8)
+        assert (chosen.shape[1] > 0) == (bucket == 8) and len(chosen) >= 1
+        label = list(range(len(sets)))
+        edges = near_copies.sketch_links(frame, chosen, near_copies.sketch_radius(0.8)).collect()
+        for _ in texts:
+            for u, v in edges:
+                label[u] = label[v] = min(label[u], label[v])
+        assert all(label[i] == label[w] for i, w in enumerate(want))
+        assert len(set(label)) > 10
+
+
+def test_similar_sets_differ_in_few_bits():
+    rng = near_copies.np.random.default_rng(8)
+    bits = 64 * (near_copies.SKETCH + near_copies.WIDE)
+    apart = []
+    for _ in range(30):
+        pool = rng.integers(0, 1 << 63, 540, dtype=near_copies.np.uint64)
+        one, other, far = pool[:180], near_copies.np.concatenate([pool[:160], pool[180:200]]), pool[360:]
+        prints = [near_copies.np.frombuffer(near_copies.fingerprint(x), near_copies.np.uint8) for x in (one, other, far)]
+        apart.append([near_copies.np.bitwise_count(prints[0] ^ p).sum() / bits for p in prints[1:]])
+    near, far = near_copies.np.mean(apart, axis=0)
+    assert abs(near - near_copies.flips(0.8)) < 0.02 and abs(far - 0.5) < 0.02
+    assert near_copies.fingerprint(near_copies.shingles("")) == b""
+
+
+def test_a_group_of_copies_has_few_links(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BUCKET", 32)
+    rng = random.Random(9)
+    base = ["w%d" % rng.randrange(1000) for _ in range(300)]
+    texts = [" ".join(base[:at] + ["x%d" % at] + base[at + 1 :]) for at in range(256)]
+    frame = spark.createDataFrame([(i, bytearray(near_copies.fingerprint(near_copies.shingles(t)))) for i, t in enumerate(texts)], "fp long, print binary")
+    edges = near_copies.sketch_links(frame, near_copies.tables(256, 0.8), near_copies.sketch_radius(0.8)).collect()
+    assert 255 <= len(edges) <= 400 and {x for e in edges for x in e} == set(range(256))
